@@ -61,6 +61,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{scratch_root(spark)}/marginalia-{uuid.uuid4().hex}-{name}"
     df.write.parquet(path)
     _WRITTEN.append(path)
+    spark._jvm.System.gc()  # unreachable shuffles go now, not when the driver next runs out of heap
     return spark.read.schema(df.schema).parquet(path)
 
 
