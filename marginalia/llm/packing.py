@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import pieces, shared
+from . import byte_bpe, pieces, shared
 
 CAPACITY = 2048
 
@@ -53,16 +53,14 @@ def token_pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int =
         fields.append(T.StructField("ids", T.ArrayType(T.IntegerType())))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = pieces.cache_for(path, "ids")
+        ids_of = byte_bpe.encoder(path)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             texts = [text or "" for text in texts]
             for first, last in pieces.text_groups(texts):
-                cut = [pieces.with_leading_space(text) for text in texts[first:last]]
-                cache.fill(piece for parts in cut for piece in parts)
                 rows, out = [], {name: [] for name in ("piece", "start", "length", "ids_crc32", "ids")}
-                for row, parts in enumerate(cut, first):
-                    ids = b"".join(map(cache.__getitem__, parts)) + b"\0\0\0\0"
+                for row, ids in enumerate(ids_of(texts[first:last]), first):
+                    ids += b"\0\0\0\0"
                     for n, (start, length) in enumerate(cut_points(len(ids) // 4, capacity)):
                         own = ids[4 * start : 4 * (start + length)]
                         rows.append(row)
