@@ -7,18 +7,21 @@ lost executor costs only the tasks that it ran. Nothing here keeps data in execu
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
 _OWN_ROOT: dict[str, str] = {}
-_WRITTEN: list[str] = []
+_WRITTEN: dict[str, str] = {}
+_OWNER = [""]
 
 #: Rows in one block of ``ranked``; a window never holds more.
 BLOCK = 16384
@@ -60,7 +63,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/marginalia-{uuid.uuid4().hex}-{name}"
     df.write.parquet(path)
-    _WRITTEN.append(path)
+    _WRITTEN[path] = _OWNER[-1]
     spark._jvm.System.gc()  # unreachable shuffles go now, not when the driver next runs out of heap
     return spark.read.schema(df.schema).parquet(path)
 
@@ -71,23 +74,27 @@ def dropped(spark: SparkSession, paths: list[str]) -> None:
     for path in paths:
         place = jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-        if path in _WRITTEN:
-            _WRITTEN.remove(path)
-
-
-def mark() -> int:
-    """How many scratch tables exist; ``swept`` deletes those written after a mark."""
-    return len(_WRITTEN)
+        _WRITTEN.pop(path, None)
 
 
 def last_path() -> str:
     """Where the newest scratch table lies."""
-    return _WRITTEN[-1]
+    return next(reversed(_WRITTEN))
+
+
+@contextlib.contextmanager
+def owned(owner: str) -> Iterator[None]:
+    """Scratch tables written inside belong to ``owner``."""
+    _OWNER.append(owner)
+    try:
+        yield
+    finally:
+        _OWNER.pop()
 
 
-def swept(spark: SparkSession, since: int = 0) -> None:
-    """Delete this session's scratch tables written after ``since``; call it once results are materialised."""
-    dropped(spark, list(_WRITTEN[since:]))
+def swept(spark: SparkSession, owner: str = "") -> None:
+    """Delete an owner's scratch tables; call it once the results that read them are materialised."""
+    dropped(spark, [path for path, own in _WRITTEN.items() if own == owner])
 
 
 def ascii_lower(col: Column) -> Column:
