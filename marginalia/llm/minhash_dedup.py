@@ -4,13 +4,15 @@ Each set of 5-word shingles gets one permutation's minima over ``BINS`` bins; an
 fixed sequence of universal hashes names first (optimal densification). ``BANDS`` bands of ``ROWS`` bins are bucket
 keys: a pair at the threshold 0.75 misses all of them with probability (1 - 0.75**ROWS)**BANDS, about 5e-6.
 
-Equal sets are one node, whatever their number. Every bucket first links its members to one centre only, a star, and
-the candidates are confirmed on full sets. Only members of one bucket that stars have not brought into one component
-are then compared with each other, so pairs inside a group of copies are never listed.
+Equal sets are one node, whatever their number. Every bucket links its members to one centre only, a star, and the candidates are
+confirmed on full sets. What a star can lose, links between members that are not near its centre, is recovered exactly: members of
+one bucket that are still in different components go through a prefix filter with positional and length bounds, so pairs inside a
+group of copies are never listed.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +30,8 @@ BANDS = BINS // ROWS
 _SHIFT = np.uint64(64 - 7)
 _EDGES = np.arange(BINS, dtype=np.uint64) << _SHIFT
 _TRIES = 512
+#: Ratio of neighbouring classes of set sizes.
+_STEP = 1.05
 
 
 def _probes() -> np.ndarray:
@@ -129,6 +133,47 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def _prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Every pair (a, b) of ``nodes`` (node, n, c) in different components whose sets can reach the threshold, and few others.
+
+    A set's shingles are ordered from rare to common. If two sets reach the threshold, their first common shingle leaves enough shingles after
+    it in both, so it is among the first few of each, and how few follows from both sizes. Only those are joined, by
+    shingle and classes of size. An edited copy's first shingles are its own, which no other has, so a large group of
+    edited copies yields hardly any pairs, and no pair that reaches the threshold is left out.
+    """
+    spread = nodes.join(sets, "node").select("node", "n", "c", F.explode("shingles").alias("shingle"))
+    common = spread.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    ordered = (
+        spread.join(common, "shingle")
+        .groupBy("node", "n", "c")
+        .agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("order"))
+        .select("node", "n", "c", (F.col("n") - F.size("order")).alias("own"), F.posexplode("order").alias("i", "e"))
+        .select("node", "n", "c", (F.col("n") - F.col("own") - F.col("i")).alias("left"), F.col("e.shingle").alias("shingle"))
+    )
+
+    def size_class(n):
+        return F.floor(F.log(F.greatest(n, F.lit(1))) / math.log(_STEP)).cast("int")
+
+    least_n = F.ceil(F.col("n") * percent / 100)
+    classed = (
+        ordered.withColumn("mine", size_class(F.col("n")))
+        .withColumn("theirs", F.explode(F.sequence(size_class(least_n), size_class(F.ceil(F.col("n") * 100 / percent)))))
+        .withColumn("m", F.greatest(least_n, F.floor(F.pow(F.lit(_STEP), F.col("theirs")) - 1e-6)))
+        .where(F.col("left") * (100 + percent) >= F.lit(percent) * (F.col("n") + F.col("m")))
+        .select("node", "n", "c", "left", "shingle", F.least("mine", "theirs").alias("low"), F.greatest("mine", "theirs").alias("high"), (F.col("mine") <= F.col("theirs")).alias("is_low"), (F.col("mine") >= F.col("theirs")).alias("is_high"))
+    )
+    classed = shared.stored(classed, "prefixes")
+    keys = ["shingle", "low", "high"]
+    mixed_keys = classed.groupBy(keys).agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select(keys)
+    live = classed.join(mixed_keys, keys)
+    one = live.where("is_low").select(*keys, *(F.col(x).alias(f"{x}1") for x in ("node", "n", "c", "left")))
+    two = live.where("is_high").select(*keys, *(F.col(x).alias(f"{x}2") for x in ("node", "n", "c", "left")))
+    reaches = F.least("left1", "left2") * (100 + percent) >= F.lit(percent) * (F.col("n1") + F.col("n2"))
+    sizes = F.lit(100) * F.least("n1", "n2") >= F.lit(percent) * F.greatest("n1", "n2")
+    pairs = one.join(two, [*(one[k] == two[k] for k in keys), one["c1"] != two["c2"], (one["low"] < one["high"]) | (one["node1"] < two["node2"]), reaches, sizes])
+    return pairs.select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75, words_in: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Return (id, n_shingles, component_id, kept) for each row of ``docs``.
 
@@ -151,16 +196,17 @@ def near_duplicates(docs: DataFrame, percent: int = 75, words_in: int = 5, id_co
         "nodes",
     )
     banded = nodes.select(F.explode("bands").alias("key"), "node", "n")
-    buckets = banded.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("node", "n")).alias("centre")).where("members > 1")
-    members = shared.stored(banded.join(buckets.select("key", "centre"), "key"), "members")
-
-    def near_in_size(a: str, b: str):
-        return F.lit(100) * F.least(a, b) >= F.lit(percent) * F.greatest(a, b)
+    buckets = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    members = shared.stored(banded.join(buckets, "key"), "members")
+    # The member with the most company over all its buckets is the centre: of edited copies, the text they were made from.
+    company = members.groupBy("node").agg(F.sum("size").alias("company"))
+    centres = members.join(company, "node").groupBy("key").agg(F.max(F.struct("company", (-F.col("node")).alias("minus"), "n")).alias("centre"))
 
     stars = shared.stored(
-        members.where("node <> centre.node")
-        .where(near_in_size("n", "centre.n"))
-        .select(F.col("centre.node").alias("a"), F.col("node").alias("b"))
+        members.join(centres.select("key", (-F.col("centre.minus")).alias("centre"), F.col("centre.n").alias("m")), "key")
+        .where("node <> centre")
+        .where(F.lit(100) * F.least("n", "m") >= F.lit(percent) * F.greatest("n", "m"))
+        .select(F.col("centre").alias("a"), F.col("node").alias("b"))
         .distinct(),
         "stars",
     )
@@ -179,17 +225,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, words_in: int = 5, id_co
     # What stars have not joined: members of one bucket in different components.
     placed = members.join(found, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("c"))
     mixed_keys = placed.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key")
-    open_ = shared.stored(placed.join(mixed_keys, "key"), "open")
-    one, two = open_.select("key", *(F.col(c).alias(f"{c}1") for c in ("node", "n", "c"))), open_.select("key", *(F.col(c).alias(f"{c}2") for c in ("node", "n", "c")))
-    rest = (
-        one.join(two, "key")
-        .where("node1 < node2 and c1 <> c2")
-        .where(near_in_size("n1", "n2"))
-        .select(F.col("node1").alias("a"), F.col("node2").alias("b"))
-        .distinct()
-        .join(stars, ["a", "b"], "left_anti")
-    )
-    more = shared.stored(_confirmed(rest, sets, percent), "confirmed")
+    open_ = placed.join(mixed_keys, "key").select("node", "n", "c").distinct()
+    rest = shared.stored(_prefix_pairs(open_, sets, percent), "rest")
+    more = shared.stored(_confirmed(rest.join(stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti"), sets, percent), "confirmed")
     if more.take(1):
         tops = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
         found = shared.stored(connected_components(tops.unionByName(more)), "components")
