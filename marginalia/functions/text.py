@@ -5,15 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Fixed patterns of the cleaning rules, in the order in which they apply.
+# The patterns of the cleaning rules, which results depend on.
 URL = r"(?i)(https?://\S+|www\.\S+)"
-LOG_LINE = r"\[\d{2}:\d{2}:\d{2}\] \S+: [^\n]*"
-CONTINUED = r"(?i)\(?\s*(?:continues on next page|continued from previous page)\s*\)?"
-DOT_LEADER = r"(?:\s*\.){5,}"
+LOG_LINE = (
+    r"\[\d{2}:\d{2}:\d{2}\]\s*\.\./src/[^\s:]+:\d+:\s*(?:Using Pooled \(Naive\) StorageManager for [CG]PU|GPU context requested, but no GPUs found\."
+    r"|Auto-tuning cuDNN op, set MXNET_CUDNN_AUTOTUNE_DEFAULT to\s*␣?(?:\s*,?→?\s*0 to disable)?)"
+)
+CONTINUED = r"(?i)(?:表\s*[\d.]+\s*[–-]\s*)?\(?\s*continue[sd] (?:from previous|on next) page\s*\)?"
+DOT_LEADER = r"[ \t]*\.(?:[ \t]+\.){4,}[ \t]*"
+WRAPS = ((r"␣\s*,→", " "), (r"\s*,→", ""), (r"\s*↩→\s*", " "))
 HYPHEN = r"([A-Za-z])-\n\s*([A-Za-z])"
-BULLET = r"^\s*[•▪●○◦‣·*–-]\s+"
+BULLET = r"^\s*([•·●▪◦‣]|(\(\d+\))|(\d+[\.\)]))\s+"
 CONTROL = r"[\p{C}&&[^\n\t]]"
-CJK = r"[\x{3400}-\x{9fff}]"
+PAGE_NUMBER = r"^\s*(page\s*)?\d+\s*$"
+SEPARATOR = r"^\s*[-—_=]{3,}\s*$"
+CJK = r"[\x{4e00}-\x{9fff}]"
 WORD = r"[\p{L}\p{N}]+"
 #: Han characters one by one, other letters and digits in runs: the stand-in for a Chinese segmenter.
 TOKEN = r"[\x{3400}-\x{9fff}]|[\p{L}\p{N}&&[^\x{3400}-\x{9fff}]]+"
@@ -33,13 +39,13 @@ def without_urls(text: Column) -> Column:
 
 
 def without_noise(text: Column) -> Column:
-    """Known extraction noise: logger lines, page-continuation markers, dot leaders, arrow marks of code listings."""
+    """Known extraction noise: logger lines, page-continuation markers, dot leaders, wrap marks of code listings."""
     text = F.regexp_replace(text, LOG_LINE, "")
     text = F.regexp_replace(text, CONTINUED, "")
     text = F.regexp_replace(text, DOT_LEADER, " ")
-    text = F.regexp_replace(text, " ,→", " ")
-    text = F.regexp_replace(text, ",→", "")
-    return F.regexp_replace(text, "↩→", " ")
+    for pattern, instead in WRAPS:
+        text = F.regexp_replace(text, pattern, instead)
+    return text
 
 
 def without_controls(text: Column) -> Column:
@@ -59,7 +65,7 @@ def clean_line(line: Column) -> Column:
     """Strip; drop a bullet from lines of at most 220 characters; squeeze blanks."""
     bare = stripped(line)
     bare = F.when(F.length(bare) <= 220, F.regexp_replace(bare, BULLET, "")).otherwise(bare)
-    return F.regexp_replace(bare, r"[ \t]{2,}", " ")
+    return stripped(F.regexp_replace(bare, r"[ \t]{2,}", " "))
 
 
 def clean_lines(text: Column) -> Column:
@@ -86,7 +92,7 @@ def clean_page(text: Column) -> Column:
 def tidied(text: Column) -> Column:
     """Noise repair for stored text: unchanged text comes back as it is, changed text is squeezed."""
     cleaned = without_noise(text)
-    return F.when(cleaned.eqNullSafe(text), text).otherwise(stripped(F.regexp_replace(F.regexp_replace(cleaned, "[ \t]{2,}", " "), "\n{3,}", "\n\n")))
+    return F.when(cleaned.eqNullSafe(text), text).otherwise(stripped(F.regexp_replace(F.regexp_replace(F.regexp_replace(cleaned, "[ \t]{2,}", " "), "\n[ \t]+", "\n"), "\n{3,}", "\n\n")))
 
 
 def han_count(text: Column) -> Column:
@@ -177,3 +183,8 @@ def unit_vector(vector: Column) -> Column:
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0).cast("double"), lambda s, x: s + x)
+
+
+def line_key(line: Column) -> Column:
+    """A line as repeated headers are compared: stripped, lower-cased, single spaces."""
+    return F.regexp_replace(F.lower(stripped(line)), r"(?U)\s+", " ")

@@ -1,4 +1,4 @@
-"""Registered queries of the engine's own operators."""
+"""Registered queries of the engine's own operators, each with its DuckDB oracle where SQL can express it."""
 
 from __future__ import annotations
 
@@ -6,10 +6,29 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+
+def registered(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under its function's name."""
+
+    def add(query: Query) -> Query:
+        QUERIES[query.__name__] = query
+        if sql is not None:
+            ORACLES[query.__name__] = sql
+        return query
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    from . import retrieval_queries, study_queries, text_queries  # noqa: F401  they register themselves
+
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    queries()
+    return dict(ORACLES)
