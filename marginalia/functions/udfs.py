@@ -7,8 +7,11 @@ import re
 import unicodedata
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .. import shipping
+
 #: Abbreviations after which a full stop ends no sentence (fixed values).
 ABBREVIATIONS = frozenset("mr mrs ms dr prof sr jr st vs etc e.g i.e fig figs eq eqs no vol pp al inc ltd co dept approx cf".split())
 _END = re.compile(r"([.!?]+[\"')\]”’]*)\s+(?=[\"'(\[“‘]*[A-Z0-9])")
@@ -58,16 +61,26 @@ def words_in(sentence: str, lang: str) -> int:
     return len(sentence.split())
 
 
-@F.pandas_udf("string")
-def nfkc(texts: pd.Series) -> pd.Series:
+def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
-@F.pandas_udf("array<string>")
-def sentence_split(texts: pd.Series, langs: pd.Series) -> pd.Series:
+def nfkc(text: Column | str) -> Column:
+    """Compatibility normalisation; null stays null."""
+    shipping.ship()
+    return F.pandas_udf(_nfkc, "string")(text)
+
+
+def _sentence_split(texts: pd.Series, langs: pd.Series) -> pd.Series:
     return pd.Series([sentences(t, g) for t, g in zip(texts, langs, strict=True)])
 
 
+def sentence_split(text: Column | str, lang: Column | str) -> Column:
+    """Sentences of each text by its language; null has none."""
+    shipping.ship()
+    return F.pandas_udf(_sentence_split, "array<string>")(text, lang)
+
+
 def salvaged(text: str | None) -> dict | None:
     """An object from a model's reply: code fences off, lone backslashes doubled, one nested object unwrapped."""
     if text is None:
@@ -88,8 +101,12 @@ def salvaged(text: str | None) -> dict | None:
     return None
 
 
-@F.pandas_udf("string")
-def salvage_json(texts: pd.Series) -> pd.Series:
-    """The object as JSON text with sorted keys, or null."""
+def _salvage_json(texts: pd.Series) -> pd.Series:
     found = texts.map(salvaged)
     return found.map(lambda x: None if x is None else json.dumps(x, sort_keys=True, ensure_ascii=False))
+
+
+def salvage_json(text: Column | str) -> Column:
+    """The object in a model's reply as JSON text with sorted keys, or null."""
+    shipping.ship()
+    return F.pandas_udf(_salvage_json, "string")(text)

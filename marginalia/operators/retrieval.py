@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import shipping
 from ..functions import text as tx
 from . import index
 
@@ -51,13 +52,9 @@ def bm25(units: DataFrame, questions: DataFrame, k: int = 10) -> DataFrame:
 
 def tfidf_scores(units: DataFrame, questions: DataFrame, char_mode: bool = False) -> DataFrame:
     """(q, unit, score) > 0: cosine of TF-IDF rows. Query terms that the index lacks are ignored."""
-    def grams(df: DataFrame, key: str) -> DataFrame:
-        g = index.char_grams(F.coalesce("text", F.lit(""))) if char_mode else index.word_grams(tx.tokens(F.col("text")))
-        return df.select("scope", F.col(key).alias("unit"), F.explode(g).alias("term"))
-
     sizes = units.groupBy("scope").agg(F.count(F.lit(1)).alias("n"))
-    asked = grams(questions, "q").groupBy("scope", "unit", "term").agg(F.count(F.lit(1)).alias("tf"))
-    counted = grams(units, "unit").groupBy("scope", "unit", "term").agg(F.count(F.lit(1)).alias("tf"))
+    asked = index.spread_grams(questions, "q", char_mode).groupBy("scope", "unit", "term").agg(F.count(F.lit(1)).alias("tf"))
+    counted = index.spread_grams(units, "unit", char_mode).groupBy("scope", "unit", "term").agg(F.count(F.lit(1)).alias("tf"))
     idf = index.idf_table(counted, sizes)
     raw = counted.join(idf, ["scope", "term"]).select("scope", "unit", "term", (F.col("tf") * F.col("idf")).alias("raw"))
     norms = raw.groupBy("scope", "unit").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
@@ -81,6 +78,7 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     rows for each block and question, never all pairs.
     """
     spark = vectors.sparkSession
+    shipping.ship(spark)
     asked = queries.select("q", "qv").orderBy("q").collect()
     ids, matrix = [r["q"] for r in asked], np.array([r["qv"] for r in asked], dtype=np.float64)
     sent = spark.sparkContext.broadcast((ids, matrix))
@@ -167,6 +165,7 @@ def mmr(candidates: DataFrame, size: int, trade: float = 0.75) -> DataFrame:
         out["rank"] = range(1, len(order) + 1)
         return out
 
+    shipping.ship(candidates.sparkSession)
     types = {f.name: f.dataType.simpleString() for f in candidates.schema}
     return candidates.groupBy("q").applyInPandas(run, f"q {types['q']}, unit {types['unit']}, score double, rank int")
 
@@ -175,8 +174,7 @@ def tfidf_pipeline(units: DataFrame, questions: DataFrame, k: int = 10, mode: st
     """5 k candidates, threshold, MMR to 3 k, at most two per page, k hits; the score stays the cosine. Units carry ``page``."""
     first = top_k(tfidf_scores(units, questions, mode == "char"), 5 * k).where(F.col("score") >= threshold_for(F.lit(mode)))
     wanted = units.join(first.select("unit").distinct(), "unit", "left_semi")
-    grams = wanted.select("unit", F.explode(index.char_grams(F.col("text")) if mode == "char" else index.word_grams(tx.tokens(F.col("text")))).alias("term"))
-    counted = grams.groupBy("unit", "term").agg(F.count(F.lit(1)).alias("tf"))
+    counted = index.spread_grams(wanted, "unit", mode == "char").groupBy("unit", "term").agg(F.count(F.lit(1)).alias("tf"))
     norms = counted.groupBy("unit").agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("norm"))
     terms = counted.join(norms, "unit").groupBy("unit").agg(F.map_from_entries(F.collect_list(F.struct("term", F.col("tf") / F.col("norm")))).alias("terms"))
     ordered = mmr(first.join(terms, "unit"), 3 * k)
@@ -197,6 +195,7 @@ def lexical_overlap(questions: pd.Series, texts: pd.Series) -> pd.Series:
 
 def reranked(hits: DataFrame, questions: DataFrame, texts: DataFrame, k: int, scorer: Scorer = lexical_overlap, pool: int = POOL) -> DataFrame:
     """The pool's hits rescored by ``scorer(question texts, unit texts)``; equal scores keep their order. At most ``pool`` come back."""
+    shipping.ship(hits.sparkSession)
     score = F.pandas_udf(scorer, "double")
     few = hits.where(F.col("rank") <= pool).join(questions.select("q", F.col("text").alias("_qt")), "q").join(texts.select("unit", F.col("text").alias("_ut")), "unit")
     scored = few.select("q", "unit", F.col("rank").alias("_was"), score("_qt", "_ut").alias("score"))

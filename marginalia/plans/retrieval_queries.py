@@ -40,7 +40,7 @@ bm AS (SELECT q, unit, sum(ln(n / df) * 2.5 * tf / (1.5 * (0.25 + 0.75 * l / la)
        FROM qt JOIN tf USING (term) JOIN df USING (term) JOIN len USING (unit), stat WHERE ln(n / df) > 0 GROUP BY q, unit),
 bmr AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 6) DESC, unit) AS rank FROM bm WHERE score > 0)"""
 DENSE = """
-dn AS (SELECT a.vec_id AS q, b.vec_id AS unit, list_sum(list_transform(list_zip(a.embedding, b.embedding), x -> x[1]::DOUBLE * x[2]::DOUBLE)) AS score
+dn AS (SELECT a.vec_id AS q, b.vec_id AS unit, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: x[1]::DOUBLE * x[2]::DOUBLE)) AS score
        FROM embeddings a, embeddings b WHERE a.vec_id < 20),
 dnr AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 6) DESC, unit) AS rank FROM dn)"""
 RRF = """
@@ -60,19 +60,19 @@ def bm25_stats(spark, d):
     return index.statistics(index.tokenised(units(spark, d))).select("scope", "n", F.round("avg_len", 4).alias("avg_len"))
 
 
-@registered(rf"""WITH g AS (SELECT doc_id, unnest(list_filter({TOKENS}, w -> length(w) >= 2)) AS term FROM documents),
+@registered(rf"""WITH g AS (SELECT doc_id, unnest(list_filter({TOKENS}, lambda w: length(w) >= 2)) AS term FROM documents),
 c AS (SELECT term, count(DISTINCT doc_id) AS df FROM g GROUP BY term)
 SELECT term, df, round(ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) + 1, 6) AS idf FROM c""")
 def df_idf_table(spark, d):
     u = units(spark, d)
-    counted = u.select("scope", "unit", F.explode(index.word_grams(tx.tokens(F.col("text")), 1)).alias("term")).groupBy("scope", "unit", "term").agg(F.count(F.lit(1)).alias("tf"))
+    counted = index.spread_grams(u, "unit", longest=1).groupBy("scope", "unit", "term").agg(F.count(F.lit(1)).alias("tf"))
     return index.idf_table(counted, u.groupBy("scope").agg(F.count(F.lit(1)).alias("n"))).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
-GRAMS = r"""list_concat(w, list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1]))"""
+GRAMS = r"""list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"""
 TFIDF = rf"""
-tw AS (SELECT doc_id AS unit, list_filter({TOKENS}, w -> length(w) >= 2) AS w FROM documents),
-qw AS (SELECT item_id AS q, list_filter({TOKENS}, w -> length(w) >= 2) AS w FROM benchmark),
+tw AS (SELECT doc_id AS unit, list_filter({TOKENS}, lambda w: length(w) >= 2) AS w FROM documents),
+qw AS (SELECT item_id AS q, list_filter({TOKENS}, lambda w: length(w) >= 2) AS w FROM benchmark),
 tc AS (SELECT unit, term, count(*) AS tf FROM (SELECT unit, unnest({GRAMS}) AS term FROM tw) GROUP BY ALL),
 qc AS (SELECT q, term, count(*) AS tf FROM (SELECT q, unnest({GRAMS}) AS term FROM qw) GROUP BY ALL),
 idf AS (SELECT term, ln((1 + (SELECT count(*) FROM documents)) / (1 + count(*))) + 1 AS idf FROM tc GROUP BY term),
@@ -242,14 +242,14 @@ def answers(spark, d) -> DataFrame:
 
 ANSWERS = """WITH a AS (SELECT item_id AS id, 'b' || (item_id % 5) AS doc, CASE WHEN item_id % 3 = 0 THEN 'en' ELSE 'fr' END AS lang, 'L' || (1 + item_id % 5) AS level,
 CAST(item_id % 3 AS INTEGER) AS hops, CASE WHEN item_id % 6 <> 0 THEN 1 ELSE 0 END AS found,
-list_transform(range(5), i -> (item_id + i * 3) % 11) AS shown, list_transform(range(2), i -> (item_id * 2 + i * 3) % 11) AS cited,
+list_transform(range(5), lambda i: (item_id + i * 3) % 11) AS shown, list_transform(range(2), lambda i: (item_id * 2 + i * 3) % 11) AS cited,
 CASE WHEN item_id % 5 = 4 THEN [] ELSE [[item_id % 11], [(item_id + 3) % 11, 1]] END AS groups,
-list_transform(range(0, item_id % 4 + 1), i -> CASE WHEN (item_id + i) % 3 = 0 THEN 'no' WHEN (item_id + i) % 7 = 0 THEN 'idk' ELSE 'yes' END) AS verdicts FROM benchmark),
-f AS (SELECT *, CASE WHEN len(cited) > 0 AND len(list_filter(cited, x -> NOT list_contains(shown, x))) = 0 THEN 1 ELSE 0 END AS cite_valid,
+list_transform(range(0, item_id % 4 + 1), lambda i: CASE WHEN (item_id + i) % 3 = 0 THEN 'no' WHEN (item_id + i) % 7 = 0 THEN 'idk' ELSE 'yes' END) AS verdicts FROM benchmark),
+f AS (SELECT *, CASE WHEN len(cited) > 0 AND len(list_filter(cited, lambda x: NOT list_contains(shown, x))) = 0 THEN 1 ELSE 0 END AS cite_valid,
 CASE WHEN len(groups) > 0 THEN CASE WHEN list_has_any(cited, flatten(groups)) THEN 1 ELSE 0 END END AS cite_gold,
 CASE WHEN len(groups) > 0 THEN CASE WHEN list_has_any(shown, flatten(groups)) THEN 1 ELSE 0 END END AS retrieval_hit,
-CASE WHEN len(groups) > 0 THEN CASE WHEN len(list_filter(groups, g -> NOT list_has_any(g, shown))) = 0 THEN 1 ELSE 0 END END AS retrieval_full,
-len(list_filter(verdicts, v -> v = 'yes'))::DOUBLE / len(verdicts) AS faithfulness FROM a)"""
+CASE WHEN len(groups) > 0 THEN CASE WHEN len(list_filter(groups, lambda g: NOT list_has_any(g, shown))) = 0 THEN 1 ELSE 0 END END AS retrieval_full,
+len(list_filter(verdicts, lambda v: v = 'yes'))::DOUBLE / len(verdicts) AS faithfulness FROM a)"""
 
 
 @registered(ANSWERS + " SELECT id, cite_valid, cite_gold, retrieval_hit, retrieval_full FROM f")
@@ -257,7 +257,7 @@ def cite_flags(spark, d):
     return evaluation.answer_flags(answers(spark, d)).select("id", "cite_valid", "cite_gold", "retrieval_hit", "retrieval_full")
 
 
-@registered(ANSWERS + " SELECT id, CAST(len(verdicts) AS INTEGER) AS claims, CAST(len(list_filter(verdicts, v -> v = 'yes')) AS INTEGER) AS supported, round(faithfulness, 4) AS faithfulness FROM f")
+@registered(ANSWERS + " SELECT id, CAST(len(verdicts) AS INTEGER) AS claims, CAST(len(list_filter(verdicts, lambda v: v = 'yes')) AS INTEGER) AS supported, round(faithfulness, 4) AS faithfulness FROM f")
 def verdict_counts(spark, d):
     a = answers(spark, d)
     yes = F.size(F.filter("verdicts", lambda v: v["verdict"] == "yes"))

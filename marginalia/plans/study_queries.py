@@ -64,7 +64,7 @@ def topic_counts(spark, d):
 
 
 @registered("""WITH n AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM documents)
-SELECT source, doc_id FROM n WHERE n <= 7 OR list_contains(list_transform(range(7), k -> CAST(floor(k * (n / 7.0::DOUBLE)) AS BIGINT)), i)""")
+SELECT source, doc_id FROM n WHERE n <= 7 OR list_contains(list_transform(range(7), lambda k: CAST(floor(k * (n / 7.0::DOUBLE)) AS BIGINT)), i)""")
 def spread_k(spark, d):
     return study.spread(table(spark, d, "documents").select("source", "doc_id"), "source", "doc_id", 7)
 

@@ -26,13 +26,13 @@ def needs_ocr_by_source(spark, d):
 
 
 @registered(r"""SELECT doc_id, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS latin, length(regexp_replace(text, '[^\x{3400}-\x{9fff}]', '', 'g')) AS han,
-len(list_filter(regexp_split_to_array(text, '\s+'), w -> w <> '')) AS words FROM documents""")
+len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS words FROM documents""")
 def lang_ratio(spark, d):
     t = F.col("text")
     return table(spark, d, "documents").select("doc_id", tx.latin_count(t).cast("long").alias("latin"), tx.han_count(t).cast("long").alias("han"), tx.word_count(t).cast("long").alias("words"))
 
 
-@registered(rf"""WITH l AS (SELECT source AS doc_id, doc_id AS page, list_filter(list_transform(string_split(text, chr(10)), x -> regexp_replace(lower(regexp_replace(x, {SPACE})), '\s+', ' ', 'g')), x -> x <> '') AS l FROM documents),
+@registered(rf"""WITH l AS (SELECT source AS doc_id, doc_id AS page, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(lower(regexp_replace(x, {SPACE})), '\s+', ' ', 'g')), lambda x: x <> '') AS l FROM documents),
 e AS (SELECT doc_id, page, unnest(list_concat(l[1:2], l[greatest(1, len(l) - 1):len(l)])) AS key FROM l),
 w AS (SELECT doc_id, key, sum(CASE WHEN regexp_matches(key, '(?i)^\s*(page\s*)?\d+\s*$') OR regexp_matches(key, '^\s*[-—_=]{{3,}}\s*$') THEN 2 ELSE 1 END) AS weight FROM e WHERE length(key) >= 3 GROUP BY doc_id, key),
 n AS (SELECT source AS doc_id, count(*) AS n FROM documents GROUP BY source)
@@ -46,7 +46,7 @@ def pages_without_repeated_lines(spark, d):
     return cleaning.without_repeated_lines(pages(spark, d), 0.04)
 
 
-@registered(rf"""SELECT doc_id, regexp_replace(regexp_replace(list_aggregate(list_transform(string_split(text, chr(10)), x ->
+@registered(rf"""SELECT doc_id, regexp_replace(regexp_replace(list_aggregate(list_transform(string_split(text, chr(10)), lambda x:
   regexp_replace(regexp_replace(CASE WHEN length(regexp_replace(x, {SPACE})) <= 220 THEN regexp_replace(regexp_replace(x, {SPACE}), '^\s*([•·●▪◦‣]|(\(\d+\))|(\d+[\.\)]))\s+', '') ELSE regexp_replace(x, {SPACE}) END, '[ \t]{{2,}}', ' ', 'g'), {SPACE})),
   'string_agg', chr(10)), '\n{{3,}}', chr(10) || chr(10), 'g'), {SPACE}) AS text
 FROM (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '(?i)(https?://\S+|www\.\S+)', '', 'g'), '[ \t]*\.(?:[ \t]+\.){{4,}}[ \t]*', ' ', 'g'), '([A-Za-z])-\n\s*([A-Za-z])', '\1\2', 'g') AS text FROM documents)""")
@@ -121,8 +121,8 @@ def unit_codec(spark, d):
     return table(spark, d, "documents").withColumn("name", name).select("doc_id", tx.unit_words(F.col("name")).alias("words"), tx.unit_overlap(F.col("name")).alias("overlap"))
 
 
-@registered("""SELECT doc_id, CAST(len(list_filter(g, x -> len(x) > 0)) AS INTEGER) AS n, array_to_string(list_transform(list_filter(g, x -> len(x) > 0), x -> array_to_string(x, ' ')), '|') AS groups FROM (
-SELECT doc_id, list_transform(string_split((doc_id % 9) || ' | ' || (doc_id % 7) || ' ' || (doc_id % 5) || ' ' || (doc_id % 7) || '| |x', '|'), p -> list_sort(list_distinct(list_transform(regexp_extract_all(p, '\\d+'), y -> y::INTEGER)))) AS g FROM documents)""".replace("\\\\", "\\"))
+@registered("""SELECT doc_id, CAST(len(list_filter(g, lambda x: len(x) > 0)) AS INTEGER) AS n, array_to_string(list_transform(list_filter(g, lambda x: len(x) > 0), lambda x: array_to_string(x, ' ')), '|') AS groups FROM (
+SELECT doc_id, list_transform(string_split((doc_id % 9) || ' | ' || (doc_id % 7) || ' ' || (doc_id % 5) || ' ' || (doc_id % 7) || '| |x', '|'), lambda p: list_sort(list_distinct(list_transform(regexp_extract_all(p, '\\d+'), lambda y: y::INTEGER)))) AS g FROM documents)""".replace("\\\\", "\\"))
 def parse_groups(spark, d):
     i = F.col("doc_id")
     raw = F.concat((i % 9).cast("string"), F.lit(" | "), (i % 7).cast("string"), F.lit(" "), (i % 5).cast("string"), F.lit(" "), (i % 7).cast("string"), F.lit("| |x"))
