@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embedding_dedup, minhash_dedup, packing, pii, quality, sharding, substring_dedup, token_counts, url_filter
+from . import decontaminate, embedding_dedup, minhash_dedup, oracles, packing, pii, quality, sharding, substring_dedup, token_counts, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,4 +70,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_url_filter": url_filter.ORACLE}
+    return oracles.oracle_sql()

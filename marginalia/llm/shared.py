@@ -12,13 +12,13 @@ import os
 import shutil
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-_SHIPPED: set[str] = set()
+from ..shipping import ship  # noqa: F401  the operators call it from here
+
 _OWN_ROOT: dict[str, str] = {}
 _WRITTEN: dict[str, str] = {}
 _OWNER = [""]
@@ -27,25 +27,6 @@ _OWNER = [""]
 BLOCK = 16384
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once a session, so Arrow functions import there wherever it is installed."""
-    app = spark.sparkContext.applicationId
-    if app in _SHIPPED:
-        return
-    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    folder = tempfile.mkdtemp(prefix="marginalia-code-")
-    target = os.path.join(folder, "marginalia_code.zip")
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as archive:
-        for at, _, names in os.walk(package):
-            for name in names:
-                if name.endswith(".py"):
-                    full = os.path.join(at, name)
-                    archive.write(full, os.path.relpath(full, os.path.dirname(package)))
-    spark.sparkContext.addPyFile(target)
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    _SHIPPED.add(app)
-
-
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for scratch tables: ``spark.checkpoint.dir``, or a folder of our own where that is unset."""
     named = spark.conf.get("spark.checkpoint.dir", None)
