@@ -240,7 +240,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, words_in: int = 5, id_co
         .select(
             F.col("id").alias(id_col),
             "n_shingles",
-            F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "id")).otherwise(F.col("id")).alias("component_id"),
+            F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.coalesce("component_id", "id")).otherwise(F.col("id")).alias("component_id"),
         )
         .withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
     )
