@@ -32,37 +32,18 @@ def frequencies(posting: DataFrame) -> DataFrame:
     return posting.groupBy("scope", "term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def _runs(length, size: int, cut):
-    """``cut(i)`` for each 1-based start of a run of ``size`` in something of that length."""
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), length - (size - 1)))
-    return F.when(length >= size, F.transform(starts, lambda i: cut(i))).otherwise(F.array().cast("array<string>"))
-
-
 def spread_grams(df: DataFrame, key: str, char_mode: bool = False, longest: int = 2) -> DataFrame:
-    """(scope, unit, term) of (scope, key, text). Words are a column of their own first: inside a lambda they would be cut anew for each gram."""
-    if char_mode:
-        whole = df.select("scope", F.col(key).alias("unit"), F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("(?s)."), F.lit(0)).alias("_t"))
-        return whole.select("scope", "unit", F.explode(char_grams(F.col("_t"))).alias("term"))
-    words = df.select("scope", F.col(key).alias("unit"), F.filter(tx.tokens(F.col("text")), lambda w: F.length(w) >= 2).alias("_w"))
-    return words.select("scope", "unit", F.explode(word_grams(F.col("_w"), longest)).alias("term"))
-
-
-def word_grams(words, longest: int = 2):
-    """Uni- to ``longest``-grams of a column of words."""
-
-    def grams(n: int):
-        return _runs(F.size(words), n, lambda i: F.array_join(F.slice(words, i, n), " "))
+    """(scope, unit, term) of (scope, key, text): words of two characters or more in runs of up to ``longest``, or characters in runs of 2 to 4.
 
-    return F.concat(words, *(grams(n) for n in range(2, longest + 1)))
-
-
-def char_grams(characters, shortest: int = 2, longest: int = 4):
-    """All runs of the given lengths of a column of single characters, case kept. Positions in an array are direct, in a text they are counted."""
-
-    def grams(n: int):
-        return _runs(F.size(characters), n, lambda i: F.array_join(F.slice(characters, i, n), ""))
-
-    return F.concat(*(grams(n) for n in range(shortest, longest + 1)))
+    The parts are an array column first; one row per start then reads its runs from the array, all inside code generation.
+    """
+    if char_mode:
+        parts, sizes, mark = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("(?s)."), F.lit(0)), (2, 3, 4), ""
+    else:
+        parts, sizes, mark = F.filter(tx.tokens(F.col("text")), lambda w: F.length(w) >= 2), tuple(range(1, longest + 1)), " "
+    starts = df.select("scope", F.col(key).alias("unit"), parts.alias("_p")).select("scope", "unit", "_p", F.posexplode("_p").alias("_i", "_w"))
+    runs = [F.when(F.col("_i") + n <= F.size("_p"), F.concat_ws(mark, *(F.get("_p", F.col("_i") + k) for k in range(n)))) for n in sizes]
+    return starts.select("scope", "unit", F.explode(F.array(*runs)).alias("term")).where("term is not null")
 
 
 def tfidf_weights(units: DataFrame, grams: DataFrame, sizes: DataFrame) -> DataFrame:
