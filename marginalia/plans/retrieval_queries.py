@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import evaluation, index, retrieval
-from ..sources.tables import table
+from ..sources.tables import parallel, table
 from .catalogue import registered
 
 
 def units(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select(F.lit("all").alias("scope"), F.col("doc_id").alias("unit"), "text", (F.col("doc_id") + 1).alias("page"))
+    docs = parallel(table(spark, d, "documents").select("doc_id", "text"))
+    return docs.select(F.lit("all").alias("scope"), F.col("doc_id").alias("unit"), "text", (F.col("doc_id") + 1).alias("page"))
 
 
 def asked(spark: SparkSession, d: str) -> DataFrame:

@@ -14,6 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def parallel(df: DataFrame) -> DataFrame:
+    """Deal a scan of fewer splits than cores to all cores; a larger one stays as it is, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages (book, page_no, text): a source is a book, and a page's number is its document id plus one."""
     return table(spark, sf_dir, "documents").select(F.col("source").alias("book"), (F.col("doc_id") + 1).cast("int").alias("page_no"), "text", "lang")
