@@ -6,6 +6,7 @@ Hits have the columns (q, unit, score, rank). Text is joined last. Orders are to
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -18,6 +19,8 @@ from . import index
 
 K1, B = 1.5, 0.75
 RRF_K, CANDIDATES, POOL = 60, 50, 30
+#: Queries of a vector search that are broadcast together.
+QUERIES = 1024
 
 
 def top_k(scores: DataFrame, k: int, *ties: Column | str) -> DataFrame:
@@ -72,33 +75,37 @@ def tfidf_scores(units: DataFrame, questions: DataFrame, char_mode: bool = False
 
 
 def dense(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """Exact inner-product search of a stated, small query set (q, qv) against all vectors (unit, v).
+    """Exact inner-product search of a query set (q, qv) against all vectors (unit, v).
 
-    Vectors stream past the broadcast queries in Arrow blocks; every block keeps its own k best of each question, so the shuffle holds k
-    rows for each block and question, never all pairs.
+    Vectors stream past the queries in Arrow blocks; every block keeps its own k best of each question, so the shuffle holds k
+    rows for each block and question, never all pairs. Queries are broadcast ``QUERIES`` at a time, each block with its own pass over the vectors.
     """
     spark = vectors.sparkSession
     shipping.ship(spark)
-    asked = queries.select("q", "qv").orderBy("q").collect()
-    ids, matrix = [r["q"] for r in asked], np.array([r["qv"] for r in asked], dtype=np.float64)
-    sent = spark.sparkContext.broadcast((ids, matrix))
-    unit_type = vectors.schema["unit"].dataType.simpleString()
-
-    def run(frames):
-        ids, matrix = sent.value
-        for frame in frames:
-            if not len(frame) or not len(ids):
-                continue
-            scores = np.stack(frame["v"].to_numpy()).astype(np.float64) @ matrix.T
-            units = frame["unit"].to_numpy()
-            parts = []
-            for j, q in enumerate(ids):
-                best = np.lexsort((units, -np.round(scores[:, j], 6)))[:k]
-                parts.append(pd.DataFrame({"q": q, "unit": units[best], "score": scores[best, j]}))
-            yield pd.concat(parts)
-
-    q_type = queries.schema["q"].dataType.simpleString()
-    return top_k(vectors.select("unit", "v").mapInPandas(run, f"q {q_type}, unit {unit_type}, score double"), k)
+    unit_type, q_type = vectors.schema["unit"].dataType.simpleString(), queries.schema["q"].dataType.simpleString()
+    schema = f"q {q_type}, unit {unit_type}, score double"
+
+    def best_of(sent):
+        def run(frames):
+            ids, matrix = sent.value
+            for frame in frames:
+                if not len(frame):
+                    continue
+                scores = np.stack(frame["v"].to_numpy()).astype(np.float64) @ matrix.T
+                units = frame["unit"].to_numpy()
+                parts = []
+                for j, q in enumerate(ids):
+                    best = np.lexsort((units, -np.round(scores[:, j], 6)))[:k]
+                    parts.append(pd.DataFrame({"q": q, "unit": units[best], "score": scores[best, j]}))
+                yield pd.concat(parts)
+
+        return vectors.select("unit", "v").mapInPandas(run, schema)
+
+    asked, found = queries.select("q", "qv").orderBy("q").toLocalIterator(), None
+    while block := list(islice(asked, QUERIES)):
+        part = best_of(spark.sparkContext.broadcast(([r["q"] for r in block], np.array([r["qv"] for r in block], dtype=np.float64))))
+        found = part if found is None else found.unionByName(part)
+    return top_k(spark.createDataFrame([], schema) if found is None else found, k)
 
 
 def rrf(first: DataFrame, second: DataFrame, k: int, constant: int = RRF_K, depth: int = CANDIDATES) -> DataFrame:
