@@ -64,10 +64,7 @@ n AS (SELECT doc_id, text, regexp_replace(regexp_replace(regexp_replace(text, '(
 t AS (SELECT doc_id, text, regexp_replace(regexp_replace(regexp_replace(regexp_replace(c1, '[ \t]{2,}', ' ', 'g'), '\n[ \t]+', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS new_text FROM n WHERE c1 <> text)
 SELECT doc_id, new_text, CASE WHEN length(new_text) < 3 THEN 'delete' ELSE 'update' END AS action FROM t""")
 def noise_diff(spark, d):
-    k = F.col("doc_id") % 4
-    start = F.substring("text", 1, 20)
-    made = F.when(k == 0, F.concat(F.lit("a . . . . . . 9\n"), start)).when(k == 1, "(continues on next page)").when(k == 2, "x ↩→ y  z").otherwise(start)
-    return cleaning.noise_changes(table(spark, d, "documents").select("doc_id", made.alias("text"))).select("doc_id", "new_text", "action")
+    return cleaning.noise_changes(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "new_text", "action")
 
 
 @registered(rf"""SELECT book, max(page_no) AS last_page, count(*) AS n_chunks, substr(regexp_replace(regexp_replace(arg_min(text, page_no), '\s+', ' ', 'g'), '^ | $', '', 'g'), 1, 60) AS preview FROM ({CORPUS}) GROUP BY book""")

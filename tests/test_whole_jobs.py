@@ -37,3 +37,20 @@ def test_dense_blocks(spark, monkeypatch):
 def test_hybrid_items(spark, duck):
     dense = dense_of("a.vec_id IN (SELECT item_id FROM benchmark)")
     assert equal(spark, duck, "hybrid_rrf", f"WITH {rq.BM25}, {dense}, {rq.RRF} SELECT {rq.SHOWN} FROM fr WHERE rank <= 10")
+
+
+def documents(spark, folder, texts):
+    """A folder whose documents have these texts."""
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    return str(folder)
+
+
+def test_noise_of_whole_texts(spark, duck, tmp_path):
+    long = "word " * 50
+    texts = ["a . . . . . . 9\nbody", "(continues on next page)", "x ↩→ y  z", long + "\nb . . . . . . 7", long, None, long + "\n(continued from previous page)", "plain"]
+    folder = documents(spark, tmp_path, texts)
+    rows = {r.doc_id: (r.new_text, r.action) for r in catalogue.queries()["noise_diff"](spark, folder).collect()}
+    assert rows == {0: ("a 9\nbody", "update"), 1: ("", "delete"), 2: ("x y z", "update"), 3: (f"{long}\nb 7", "update"), 6: (long.strip(), "update")}
+    sql = catalogue.oracle_sql()["noise_diff"]
+    start, end = sql.index("CASE doc_id % 4"), sql.index("END AS text")
+    assert equal(spark, duck, "noise_diff", f"{sql[:start]}text{sql[end + 3:]}")
