@@ -25,11 +25,17 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id."""
+    """One row of each group of near-duplicates: the one with the smallest id, a null id last.
+
+    Rows are told apart by a stored number, not by their ids, which may be null or repeated.
+    """
     shared.swept(spark, OWNER)
     with shared.owned(OWNER):
-        found = minhash_dedup.near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_copy")).distinct()
-        return docs.join(found, docs["doc_id"] == found["_copy"], "left_anti")
+        rows = shared.stored(shared.numbered(docs), "rows")
+        classes = minhash_dedup.near_duplicates(rows, id_col="_rid").select("_rid", "component_id")
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_rid")).alias("first")
+        kept = classes.join(rows.select("_rid", "doc_id"), "_rid").groupBy("component_id").agg(first).select("first._rid")
+        return rows.join(kept, "_rid", "left_semi").select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -47,14 +47,12 @@ def _shingled(docs: DataFrame, sizes: list[int]) -> DataFrame:
     return out
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """Return (id, n_words, n_hit, n_items, items_sha256, contaminated) for each row of ``docs``.
+def _text_key(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
-    A word is hit if it lies inside any occurrence of an item's window. Null and wordless texts: no words, no hits. Items
-    without words have no windows. Repeated documents each get their own row; items that repeat an id count once; null item ids mark words
-    as hit but are not listed. Empty documents give an empty table, an empty benchmark gives no hits. Only the named columns are read.
-    """
-    read = docs.select(docs[id_col].alias("id"), F.xxhash64(F.coalesce(docs[text_col], F.lit(""))).alias("h"), words_of(docs[text_col]).alias("words"))
+
+def _hits(read: DataFrame, items: DataFrame, window: int, item_id: str, item_text: str) -> DataFrame:
+    """(hit_id, hit_h, n_hit, n_items, items_sha256) of the rows of ``read`` (id, h, words) that hold a window."""
     windows = shared.stored(item_windows(items, window, item_id, item_text), "windows")
     # A window's number depends on its words alone.
     distinct = shared.stored(
@@ -114,7 +112,22 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, id_col: s
             F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
         )
     )
-    hits = shared.stored(hits, "hits")
+    return shared.stored(hits, "hits")
+
+
+def _read(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(docs[id_col].alias("id"), _text_key(docs[text_col]).alias("h"), words_of(docs[text_col]).alias("words"))
+
+
+def contamination(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """Return (id, n_words, n_hit, n_items, items_sha256, contaminated) for each row of ``docs``.
+
+    A word is hit if it lies inside any occurrence of an item's window. Null and wordless texts: no words, no hits. Items
+    without words have no windows. Repeated documents each get their own row; items that repeat an id count once; null item ids mark words
+    as hit but are not listed. Empty documents give an empty table, an empty benchmark gives no hits. Only the named columns are read.
+    """
+    read = _read(docs, id_col, text_col)
+    hits = _hits(read, items, window, item_id, item_text)
     light = read.select("id", "h", F.size("words").cast("long").alias("n_words"))
     zero = F.lit(0).cast("long")
     return light.join(hits, F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("h") == F.col("hit_h")), "left").select(
@@ -127,7 +140,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, id_col: s
     )
 
 
-def decontaminated(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", **names: str) -> DataFrame:
-    """``docs`` without the rows that hold a benchmark passage."""
-    found = contamination(docs, items, window, id_col, text_col, **names).where("contaminated").select(F.col(id_col).alias("_hit_id")).distinct()
-    return docs.join(found, docs[id_col].eqNullSafe(found["_hit_id"]), "left_anti")
+def decontaminated(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """``docs`` without the rows that hold a benchmark passage. A row is known by its id and its text, so others of its id, or of no id, stay."""
+    found = _hits(_read(docs, id_col, text_col), items, window, item_id, item_text).select("hit_id", "hit_h")
+    return docs.join(found, docs[id_col].eqNullSafe(found["hit_id"]) & (_text_key(docs[text_col]) == found["hit_h"]), "left_anti")
