@@ -131,7 +131,7 @@ def parse_groups(spark, d):
 regexp_matches(text, '[\x{4e00}-\x{9fff}]') AS has_han FROM documents""")
 def text_scalars(spark, d):
     t = F.col("text")
-    return table(spark, d, "documents").select("doc_id", tx.answer_key(F.substring(t, 1, 80)).alias("answer_key"), tx.snippet(t, 40).alias("snippet"), tx.has_han(t).alias("has_han"))
+    return table(spark, d, "documents").select("doc_id", tx.answer_key(t).alias("answer_key"), tx.snippet(t, 40).alias("snippet"), tx.has_han(t).alias("has_han"))
 
 
 @registered("""WITH e AS (SELECT source AS doc_id, doc_id AS pos, CAST(doc_id + 1 AS INTEGER) AS page, 't' || (doc_id % 13) AS title FROM documents WHERE doc_id % 7 < 3),

@@ -54,3 +54,10 @@ def test_noise_of_whole_texts(spark, duck, tmp_path):
     sql = catalogue.oracle_sql()["noise_diff"]
     start, end = sql.index("CASE doc_id % 4"), sql.index("END AS text")
     assert equal(spark, duck, "noise_diff", f"{sql[:start]}text{sql[end + 3:]}")
+
+
+def test_answer_keys_of_whole_texts(spark, duck, tmp_path):
+    folder = documents(spark, tmp_path, ["Ab, " * 40 + "one", "Ab, " * 40 + "Two!", None])
+    keys = {r.doc_id: r.answer_key for r in catalogue.queries()["text_scalars"](spark, folder).collect()}
+    assert keys == {0: "ab" * 40 + "one", 1: "ab" * 40 + "two", 2: None}
+    assert equal(spark, duck, "text_scalars", catalogue.oracle_sql()["text_scalars"].replace("substr(text, 1, 80)", "text"))
