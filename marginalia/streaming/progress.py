@@ -29,9 +29,10 @@ def counters(events: DataFrame, key: str = "user_id") -> DataFrame:
     return events.groupBy(key, "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
 
 
-def windowed(events: DataFrame, size: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """Counts by event-time window; state is bounded by the watermark."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", size).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+def windowed(events: DataFrame, size: str = "1 hour", late: str | None = "10 minutes") -> DataFrame:
+    """Counts by event-time window. A watermark bounds the state of a live stream and drops later rows; None has no watermark and counts every row."""
+    timed = events if late is None else events.withWatermark("ts", late)
+    return timed.groupBy(F.window("ts", size).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
 
 
 def deduplicated(events: DataFrame, late: str = "10 minutes") -> DataFrame:
