@@ -2,7 +2,8 @@
 
 Token lengths are at most the capacity, so everything that a packing depends on is the histogram of lengths: at most
 ``capacity`` counts. The plan is made over that histogram on the driver, whole runs of equal bins at a time; pieces
-then find their place by their rank among pieces of equal length. Nothing that grows with the corpus is collected.
+then find their place by their rank among pieces of equal length. A task counts its own pieces of each length while it encodes them,
+so a rank is that count plus the sum over earlier tasks, and no piece is sorted. Nothing that grows with the corpus is collected.
 """
 
 from __future__ import annotations
@@ -13,7 +14,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,40 +40,42 @@ def cut_points(total: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def token_pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """Return (id, piece, start, length, ids_crc32[, ids]) for every piece of every document, id 0 at each end."""
+    """Return (id, piece, start, length, ids_crc32, part, nth[, ids]) for every piece of every document, id 0 at each end.
+
+    ``part`` is the task that made the piece and ``nth`` its rank among that task's pieces of equal length. Fix both with ``stored``.
+    """
     shared.ship(docs.sparkSession)
     path = vocabulary or default_vocabulary()
     picked = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     fields = [
         T.StructField(id_col, picked.schema["id"].dataType),
         T.StructField("piece", T.IntegerType()),
-        T.StructField("start", T.LongType()),
-        T.StructField("length", T.LongType()),
-        T.StructField("ids_crc32", T.LongType()),
+        *(T.StructField(name, T.LongType()) for name in ("start", "length", "ids_crc32", "part", "nth")),
     ]
     if with_ids:
         fields.append(T.StructField("ids", T.ArrayType(T.IntegerType())))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = byte_bpe.encoder(path)
+        ids_of, part, seen = byte_bpe.encoder(path), TaskContext.get().partitionId(), [0] * (capacity + 1)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            texts = [text or "" for text in texts]
-            for first, last in pieces.text_groups(texts):
-                rows, out = [], {name: [] for name in ("piece", "start", "length", "ids_crc32", "ids")}
-                for row, ids in enumerate(ids_of(texts[first:last]), first):
+            for first, texts in pieces.text_slices(batch.column(1)):
+                rows, out = [], {name: [] for name in ("piece", "start", "length", "ids_crc32", "nth", "ids")}
+                for row, ids in enumerate(ids_of(texts), first):
                     ids += b"\0\0\0\0"
                     for n, (start, length) in enumerate(cut_points(len(ids) // 4, capacity)):
                         own = ids[4 * start : 4 * (start + length)]
                         rows.append(row)
-                        for name, value in (("piece", n), ("start", start), ("length", length), ("ids_crc32", zlib.crc32(own))):
+                        for name, value in (("piece", n), ("start", start), ("length", length), ("ids_crc32", zlib.crc32(own)), ("nth", seen[length])):
                             out[name].append(value)
+                        seen[length] += 1
                         if with_ids:
                             out["ids"].append(np.frombuffer(own, dtype="<u4").astype(np.int32))
                 columns = [
                     batch.column(0).take(pa.array(rows, pa.int64())),
                     pa.array(out["piece"], pa.int32()),
                     *(pa.array(out[name], pa.int64()) for name in ("start", "length", "ids_crc32")),
+                    pa.array(np.full(len(rows), part), pa.int64()),
+                    pa.array(out["nth"], pa.int64()),
                 ]
                 if with_ids:
                     columns.append(pa.array(out["ids"], pa.list_(pa.int32())))
@@ -161,11 +165,11 @@ def planned(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
             full = min(count, n // per_bin)
             if full:
                 plan.place(length, first, full * per_bin, per_bin, capacity - gap)
-                plan.leave(gap - full_length(per_bin, length), first, full)
+                plan.leave(gap - per_bin * length, first, full)
                 n -= full * per_bin
             if full < count and n:  # the last few go into one more bin
                 plan.place(length, first + full, n, per_bin, capacity - gap)
-                plan.leave(gap - full_length(n, length), first + full, 1)
+                plan.leave(gap - n * length, first + full, 1)
                 n, full = 0, full + 1
             if full < count:
                 plan.gaps[gap].append((first + full, count - full))
@@ -175,29 +179,27 @@ def planned(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
     return plan
 
 
-def full_length(items: int, length: int) -> int:
-    """Tokens of that many items."""
-    return items * length
-
-
 def packed(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Pack all documents into sequences of at most ``capacity`` tokens.
 
     Returns one row per piece: id, piece, start, length, ids_crc32[, ids], sequence_id, offset. Only documents longer than the
     capacity are cut. Null and empty texts are one piece of the closing id 0. Null ids are kept, repeated rows are
     each packed, an empty table gives an empty one, other columns aren't read. The texts are encoded once; a scratch
-    table of pieces holds the rest of the work, and ranks are taken in bounded blocks.
+    table of pieces holds the rest of the work. Counts by task and length are at most ``capacity`` for each task of the scan.
     """
     spark = docs.sparkSession
-    table = shared.stored(shared.numbered(token_pieces(docs, vocabulary, capacity, id_col, text_col, with_ids)), "pieces")
-    histogram = {row["length"]: row["n"] for row in table.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
+    table = shared.stored(token_pieces(docs, vocabulary, capacity, id_col, text_col, with_ids), "pieces")
+    counts = shared.stored(table.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")), "counts")
+    histogram = {row["length"]: row["n"] for row in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     plan = planned(histogram, capacity)
     keys = np.array([length << 44 | lo for length, lo, *_ in plan.rows], dtype=np.int64)
     order = np.argsort(keys)
     keys, rows = keys[order], np.array(plan.rows, dtype=np.int64).reshape(-1, 5)[order]
     sent = spark.sparkContext.broadcast((keys, rows))
-    light = shared.ranked(table, "length", "_rid", "_rank").drop("_rid")
-    fields = [f for f in light.schema.fields if f.name != "_rank"]
+    earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = counts.select("part", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0).cast("long")).alias("shift"))
+    light = table.join(shifts, ["part", "length"])
+    fields = [f for f in table.schema.fields if f.name not in ("part", "nth")]
     schema = T.StructType([*fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     names = [f.name for f in fields]
 
@@ -207,7 +209,7 @@ def packed(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
             if not batch.num_rows:
                 continue
             length = batch.column("length").to_numpy()
-            rank = batch.column("_rank").to_numpy()
+            rank = batch.column("nth").to_numpy() + batch.column("shift").to_numpy()
             own = rows[np.searchsorted(keys, length << 44 | rank, side="right") - 1]
             nth = rank - own[:, 1]
             columns = [batch.column(name) for name in names]

@@ -13,6 +13,8 @@ import re
 from collections.abc import Callable, Iterable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes of distinct pieces given to the library in one batch.
 BATCH_BYTES = 1 << 20
@@ -84,13 +86,12 @@ def cache_for(path: str, kind: str) -> PieceCache:
     return _CACHES[path, kind]
 
 
-def text_groups(texts: list[str], limit: int = 4 * BATCH_BYTES) -> Iterable[tuple[int, int]]:
-    """Runs of consecutive texts of about ``limit`` characters: [start, end) positions."""
+def text_slices(column: pa.Array, limit: int = 4 * BATCH_BYTES) -> Iterable[tuple[int, list[str]]]:
+    """(first row, texts) for runs of rows of about ``limit`` bytes of an Arrow column; null counts as empty. Only one run at a time is held as Python strings."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
     start, size = 0, 0
-    for i, text in enumerate(texts):
-        size += len(text)
-        if size >= limit:
-            yield start, i + 1
+    for i, n in enumerate(sizes.tolist()):
+        size += n
+        if size >= limit or i + 1 == len(sizes):
+            yield start, [text or "" for text in column.slice(start, i + 1 - start).to_pylist()]
             start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)

@@ -41,9 +41,8 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None, id_col: str = "
             texts = pc.fill_null(batch.column(1), "")
             n_bytes = pc.cast(pc.binary_length(texts), pa.int64())
             counts: list[int] = []
-            whole = texts.to_pylist()
-            for start, end in pieces.text_groups(whole):
-                cut = [pieces.without_space(text) for text in whole[start:end]]
+            for _, part in pieces.text_slices(texts):
+                cut = [pieces.without_space(text) for text in part]
                 cache.fill(piece for parts in cut for piece in parts)
                 counts += [sum(map(cache.__getitem__, parts)) for parts in cut]
             n_tokens = pa.array(counts, pa.int64())
