@@ -198,7 +198,7 @@ def packed(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
     sent = spark.sparkContext.broadcast((keys, rows))
     earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     shifts = counts.select("part", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0).cast("long")).alias("shift"))
-    light = table.join(shifts, ["part", "length"])
+    light = table.join(shifts.hint("merge"), ["part", "length"])  # a table that grows with the tasks: never broadcast
     fields = [f for f in table.schema.fields if f.name not in ("part", "nth")]
     schema = T.StructType([*fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     names = [f.name for f in fields]
