@@ -2,8 +2,11 @@
 
 An item's windows are sets of positioned word shingles. A document holds a window only if it holds all of the window's shingles, so one
 of them is a sufficient prefix: the rarest in the corpus. Documents' shingles are joined with these prefixes alone. A match
-fixes where the window would start; it must lie inside the document (length and positional bounds), and the words there must equal the
+fixes where the window would start; it must lie inside the document (length and positional bounds), and the words there must equal a
 window's exactly.
+
+One pass over the texts keeps the positions whose shingle passes a bit array of the benchmark's shingles; rarity and prefixes work on these.
+Only documents with a match are read again for their words, so neither texts nor words of the others are ever shuffled.
 """
 
 from __future__ import annotations
@@ -14,8 +17,6 @@ from pyspark.sql import functions as F
 from . import shared
 
 SHINGLE = 3
-#: Windows up to this many are broadcast to the scans of documents; more are joined by a shuffle.
-BROADCAST_WINDOWS = 100_000
 
 _SEPARATORS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
@@ -37,62 +38,61 @@ def item_windows(items: DataFrame, window: int, item_id: str, item_text: str) ->
     return split.select("item_id", "w", F.explode(starts).alias("s")).select("item_id", F.slice("w", F.col("s"), window).alias("words"))
 
 
-def _shingled(docs: DataFrame, sizes: list[int]) -> DataFrame:
-    """(id, h, words, i, key) for each position of each document; one pass for each shingle length in use."""
-    spread = docs.select("id", "h", "words", F.posexplode("words").alias("i", "w"))
-    parts = [spread.select("id", "h", "words", "i", _key("words", "i", q).alias("key")) for q in sizes]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+def _row(docs: DataFrame, id_col: str, text_col: str) -> Column:
+    """What a row is known by: its id, which may be null or repeated, and a hash of its text. Structs with null fields compare as equal."""
+    return F.struct(docs[id_col].alias("id"), F.xxhash64(F.coalesce(docs[text_col], F.lit(""))).alias("h"))
 
 
-def _text_key(text: Column) -> Column:
-    return F.xxhash64(F.coalesce(text, F.lit("")))
+def _row_hash(row: Column) -> Column:
+    return F.xxhash64(row["id"], row["h"])
 
 
-def _hits(read: DataFrame, items: DataFrame, window: int, item_id: str, item_text: str) -> DataFrame:
-    """(hit_id, hit_h, n_hit, n_items, items_sha256) of the rows of ``read`` (id, h, words) that hold a window."""
-    windows = shared.stored(item_windows(items, window, item_id, item_text), "windows")
-    # A window's number depends on its words alone.
-    distinct = shared.stored(
-        windows.select("words", F.concat_ws(" ", "words").alias("window")).dropDuplicates(["window"]).withColumn("n", F.size("words")), "distinct"
-    )
-    count, sizes = distinct.count(), sorted(r[0] for r in distinct.select(F.least(F.col("n"), F.lit(SHINGLE)).alias("q")).distinct().collect())
-    small = F.broadcast if count <= BROADCAST_WINDOWS else (lambda df: df)
-    shingles = [
-        distinct.where(F.least(F.col("n"), F.lit(SHINGLE)) == q)
-        .select("window", "words", "n", F.explode(F.sequence(F.lit(0), F.col("n") - q)).alias("p"))
-        .select("window", "words", "n", "p", _key("words", "p", q).alias("key"))
-        for q in sizes or [SHINGLE]
-    ]
-    all_shingles = shingles[0]
-    for part in shingles[1:]:
-        all_shingles = all_shingles.unionByName(part)
-    all_shingles = shared.stored(all_shingles, "shingles")
-    keys = all_shingles.select("key").distinct()
-    rarity = shared.stored(
-        _shingled(read, sizes or [SHINGLE]).select("key").join(small(keys), "key").groupBy("key").agg(F.count(F.lit(1)).alias("seen")), "rarity"
-    )
-    # A window with a shingle that no document holds occurs nowhere.
-    ordered = (
-        all_shingles.join(small(rarity), "key", "left")
+def _prefixes(windows: DataFrame, places: DataFrame, sizes: list[int]) -> DataFrame:
+    """(key, p, n): the rarest shingle of each window, its place in it and the window's length. A window with a shingle that no document holds has none."""
+    shingles = None
+    for q in sizes:
+        part = windows.where(F.least("n", F.lit(SHINGLE)) == q).select("window", "n", F.split("window", " ").alias("w"))
+        part = part.select("window", "n", "w", F.explode(F.sequence(F.lit(0), F.col("n") - q)).alias("p")).select("window", "n", "p", _key("w", "p", q).alias("key"))
+        shingles = part if shingles is None else shingles.unionByName(part)
+    rarity = places.groupBy("key").agg(F.count(F.lit(1)).alias("seen"))
+    return (
+        shingles.join(rarity, "key", "left")
         .groupBy("window")
-        .agg(F.min(F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), "key", "p")).alias("rarest"))
+        .agg(F.min(F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), "key", "p", "n")).alias("rarest"))
         .where("rarest.seen > 0")
-        .join(distinct, "window")
-        .select(F.col("rarest.key").alias("key"), F.col("rarest.p").alias("p"), "n", F.col("words").alias("sought"), "window")
+        .select("rarest.key", "rarest.p", "rarest.n")
+        .distinct()
     )
-    prefixes = shared.stored(ordered, "prefixes")
-    places = (
-        _shingled(read, sizes or [SHINGLE])
-        .join(small(prefixes), "key")
-        .withColumn("start", F.col("i") - F.col("p"))
-        .where("start >= 0 and start + n <= size(words)")
-        .where(F.expr("slice(words, start + 1, n) = sought"))
-        .select("id", "h", "window", F.struct("start", (F.col("start") + F.col("n")).alias("end")).alias("span"))
+
+
+def _hits(docs: DataFrame, items: DataFrame, window: int, id_col: str, text_col: str, item_id: str, item_text: str) -> DataFrame:
+    """(row, n_hit, n_items, items_sha256) of the rows that hold a window, as a stored table."""
+    listed = item_windows(items, window, item_id, item_text).select(F.concat_ws(" ", "words").alias("window"), F.size("words").alias("n"), F.col("item_id").cast("string").alias("item"))
+    # Windows of the same items are one class, so documents carry classes instead of items.
+    owners = listed.groupBy("window", "n").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    windows = shared.stored(owners.withColumn("class", F.sha2(F.to_json(F.struct("items")), 256)), "windows")
+    sizes = sorted(r[0] for r in windows.select(F.least(F.col("n"), F.lit(SHINGLE))).distinct().collect()) or [SHINGLE]
+    spots = windows.select("n", F.split("window", " ").alias("w")).select("n", "w", F.explode(F.sequence(F.lit(0), F.col("n") - F.least("n", F.lit(SHINGLE)))).alias("p"))
+    keys = F.coalesce(*(F.when(F.least("n", F.lit(SHINGLE)) == q, _key("w", "p", q)) for q in sizes))
+    sought = shared.sieve(shared.stored(spots.select(keys.alias("key")).distinct(), "keys"), "key")
+
+    row = _row(docs, id_col, text_col)
+    spread = docs.select(row.alias("row"), words_of(docs[text_col]).alias("words")).select("row", "words", F.posexplode("words").alias("i", "w"))
+    keyed = spread.select("row", "i", _key("words", "i", sizes[0]).alias("key")) if len(sizes) == 1 else spread.select("row", "i", F.explode(F.array(*(_key("words", "i", q) for q in sizes))).alias("key"))
+    places = shared.stored(keyed.where(sought(F.col("key"))), "places")
+
+    prefixes = shared.stored(_prefixes(windows, places, sizes), "prefixes")
+    found = places.join(prefixes, "key").select("row", (F.col("i") - F.col("p")).alias("start"), "n").where("start >= 0")
+    candidates = shared.stored(found.groupBy("row").agg(F.collect_set(F.struct("start", "n")).alias("spots")), "candidates")
+    touched = shared.sieve(candidates.select(_row_hash(F.col("row")).alias("hash")), "hash")
+    again = docs.where(touched(_row_hash(row))).select(row.alias("row"), docs[text_col].alias("text")).groupBy("row").agg(F.first("text").alias("text"))
+    runs = (
+        again.join(candidates, "row")
+        .select("row", words_of(F.col("text")).alias("words"), "spots")
+        .select("row", "words", F.inline("spots"))
+        .where("start + n <= size(words)")
+        .select("row", "start", (F.col("start") + F.col("n")).alias("end"), F.concat_ws(" ", F.expr("slice(words, start + 1, n)")).alias("window"))
     )
-    listed = windows.select(F.concat_ws(" ", "words").alias("window"), F.col("item_id").cast("string").alias("item")).distinct()
     merged = F.aggregate(
         F.array_sort("spans"),
         F.struct(F.lit(0).alias("hit"), F.lit(0).alias("reach")),
@@ -100,23 +100,24 @@ def _hits(read: DataFrame, items: DataFrame, window: int, item_id: str, item_tex
             (a["hit"] + F.greatest(F.lit(0), s["end"] - F.greatest(s["start"], a["reach"]))).alias("hit"), F.greatest(a["reach"], s["end"]).alias("reach")
         ),
     )
-    hits = (
-        places.join(small(listed), "window")
-        .groupBy("id", "h")
-        .agg(F.collect_set("span").alias("spans"), F.collect_set("item").alias("items"))
-        .select(
-            F.col("id").alias("hit_id"),
-            F.col("h").alias("hit_h"),
-            merged["hit"].cast("long").alias("n_hit"),
-            F.size("items").cast("long").alias("n_items"),
-            F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
-        )
+    hits = shared.stored(
+        runs.join(windows.select("window", "class"), "window")
+        .groupBy("row")
+        .agg(F.collect_set(F.struct("start", "end")).alias("spans"), F.array_sort(F.collect_set("class")).alias("classes"))
+        .select("row", merged["hit"].cast("long").alias("n_hit"), "classes"),
+        "hits",
     )
-    return shared.stored(hits, "hits")
-
-
-def _read(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(docs[id_col].alias("id"), _text_key(docs[text_col]).alias("h"), words_of(docs[text_col]).alias("words"))
+    # Items are listed once for each distinct set of classes, not for each document.
+    of_class = windows.select("class", "items").dropDuplicates(["class"])
+    sets = (
+        hits.select("classes").distinct()
+        .select("classes", F.explode("classes").alias("class"))
+        .join(of_class, "class")
+        .groupBy("classes")
+        .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        .select("classes", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
+    )
+    return shared.stored(hits.join(shared.stored(sets, "sets"), "classes").drop("classes"), "hits")
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -124,14 +125,14 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, id_col: s
 
     A word is hit if it lies inside any occurrence of an item's window. Null and wordless texts: no words, no hits. Items
     without words have no windows. Repeated documents each get their own row; items that repeat an id count once; null item ids mark words
-    as hit but are not listed. Empty documents give an empty table, an empty benchmark gives no hits. Only the named columns are read.
+    as hit but are not listed. Empty documents give an empty table, an empty benchmark gives no hits. Only the named columns are read, so
+    others may have any name.
     """
-    read = _read(docs, id_col, text_col)
-    hits = _hits(read, items, window, item_id, item_text)
-    light = read.select("id", "h", F.size("words").cast("long").alias("n_words"))
+    hits = _hits(docs, items, window, id_col, text_col, item_id, item_text)
+    light = docs.select(_row(docs, id_col, text_col).alias("row"), F.size(words_of(docs[text_col])).cast("long").alias("n_words"))
     zero = F.lit(0).cast("long")
-    return light.join(hits, F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("h") == F.col("hit_h")), "left").select(
-        F.col("id").alias(id_col),
+    return light.join(hits, "row", "left").select(
+        F.col("row.id").alias(id_col),
         "n_words",
         F.coalesce("n_hit", zero).alias("n_hit"),
         F.coalesce("n_items", zero).alias("n_items"),
@@ -141,6 +142,13 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, id_col: s
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """``docs`` without the rows that hold a benchmark passage. A row is known by its id and its text, so others of its id, or of no id, stay."""
-    found = _hits(_read(docs, id_col, text_col), items, window, item_id, item_text).select("hit_id", "hit_h")
-    return docs.join(found, docs[id_col].eqNullSafe(found["hit_id"]) & (_text_key(docs[text_col]) == found["hit_h"]), "left_anti")
+    """``docs``, all columns, without the rows that hold a benchmark passage.
+
+    A row is known by its id and its text, so others of its id, or of no id, stay; a repeated row goes or stays with its copies. Null and
+    wordless texts stay. An empty table gives an empty one, an empty benchmark keeps all. Rows that no hit can mean pass by without a shuffle.
+    """
+    found = _hits(docs, items, window, id_col, text_col, item_id, item_text).select("row")
+    row = _row(docs, id_col, text_col)
+    doubtful = shared.sieve(found.select(_row_hash(F.col("row")).alias("hash")), "hash")(_row_hash(row))
+    rest = docs.where(doubtful)
+    return docs.where(~doubtful).unionAll(rest.join(found, _row(rest, id_col, text_col) == found["row"], "left_anti"))

@@ -12,7 +12,7 @@ import os
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,13 +25,17 @@ _OWNER = [""]
 
 #: Rows in one block of ``ranked``; a window never holds more.
 BLOCK = 16384
+#: Bits of a ``sieve``: at least, for each key, and at most (4 MB), whatever the number of keys.
+SIEVE_LEAST, SIEVE_PER_KEY, SIEVE_MOST = 1 << 16, 16, 1 << 25
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for scratch tables: ``spark.checkpoint.dir``, or a folder of our own where that is unset."""
+    """The shared folder for scratch tables: ``spark.checkpoint.dir``. Only a local master may leave that unset and gets a folder of its own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_ROOT:
         _OWN_ROOT[app] = tempfile.mkdtemp(prefix="marginalia-scratch-")
@@ -39,16 +43,55 @@ def scratch_root(spark: SparkSession) -> str:
     return _OWN_ROOT[app]
 
 
+@contextlib.contextmanager
+def _tidy(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the queries inside go when each query ends; what they made is in a table by then."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet scratch table and read it back: lineage is cut and later passes prune columns."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/marginalia-{uuid.uuid4().hex}-{name}"
-    df.write.parquet(path)
+    with _tidy(spark):
+        df.write.parquet(path)
     _WRITTEN[path] = _OWNER[-1]
-    spark._jvm.System.gc()  # unreachable shuffles go now, not when the driver next runs out of heap
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sieve(hashes: DataFrame, column: str) -> Callable[[Column], Column]:
+    """A test that every hash in a long column of a stored table passes, and few others: one bit per hash in an array of bounded size.
+
+    It thins a scan out before a shuffle; an exact join follows. With very many hashes the array fills and the test lets more
+    pass, so results never depend on it. Built by one aggregate, read as a scalar subquery; no row of the table reaches the driver.
+    """
+    spark, wanted = hashes.sparkSession, SIEVE_LEAST
+    count = hashes.count()
+    while wanted < min(SIEVE_MOST, SIEVE_PER_KEY * count):
+        wanted *= 2
+    words, at = wanted // 64, F.pmod(F.col(column), F.lit(wanted))
+    filled = (
+        hashes.select(F.expr("1L").alias("one"), at.alias("at"))
+        .groupBy(F.expr("at div 64").alias("id"))
+        .agg(F.bit_or(F.expr("shiftleft(one, cast(at % 64 as int))")).alias("bits"))
+    )
+    dense = spark.range(words).join(filled, "id", "left").select("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
+    ordered = F.array_sort(F.collect_list(F.struct("id", "bits")))
+    array = stored(dense.agg(F.transform(ordered, lambda x: x["bits"]).alias("bits")), "sieve").scalar()
+
+    def passes(value: Column) -> Column:
+        place = F.pmod(value, F.lit(wanted))
+        return F.getbit(F.get(array, F.floor(place / 64).cast("int")), (place % 64).cast("int")) == 1
+
+    return passes
+
+
 def dropped(spark: SparkSession, paths: list[str]) -> None:
     """Delete scratch tables by path."""
     jvm = spark._jvm

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marginalia.llm import byte_bpe, components, decontaminate, embedding_dedup, minhash_dedup, packing, pieces, pii, quality, queries, sharding, substring_dedup, token_counts, url_filter
+from marginalia.llm import byte_bpe, components, decontaminate, embedding_dedup, minhash_dedup, packing, pieces, pii, quality, queries, sharding, shared, substring_dedup, token_counts, url_filter
 
 from ..conftest import SF
 from . import brute
@@ -272,6 +272,40 @@ def test_contamination(spark, docs, rows):
     assert sorted(r.doc_id for r in decontaminate.decontaminated(documents(spark, more), table).collect()) == [d for d, _, n, *_ in sorted(brute.contamination(more, items)) if not n]
 
 
+def test_many_windows(spark):
+    """More windows than bits of the sieve, no broadcast, one passage in a third of all rows, an item in every window's list."""
+    names = {"SIEVE_LEAST": 64, "SIEVE_PER_KEY": 1, "SIEVE_MOST": 256}
+    before, limit = {k: getattr(shared, k) for k in names}, spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    rng = random.Random(9)
+    text = lambda n: " ".join(f"w{rng.randrange(300)}" for _ in range(n))
+    items = [(i, text(rng.randint(1, 60))) for i in range(60)] + [(100 + i, "one very common passage of exactly ten words for all") for i in range(5)]
+    rows = [(i, text(40) + " " + rng.choice(items)[1] + " " + text(rng.randint(0, 30)) + (f" {items[-1][1]}" if i % 3 == 0 else "")) for i in range(150)]
+    rows += [(7, "x " * 60_000 + items[3][1]), (8, items[-1][1])]
+    table = spark.createDataFrame(items, "item_id int, text string")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        for k, v in names.items():
+            setattr(shared, k, v)
+        found = sorted(map(tuple, decontaminate.contamination(documents(spark, rows), table).collect()))
+        left = sorted(map(str, (tuple(r) for r in decontaminate.decontaminated(documents(spark, rows), table).collect())))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        for k, v in before.items():
+            setattr(shared, k, v)
+    expected = brute.contamination(rows, items)
+    assert found == sorted(expected)
+    clean = {(r[0], r[1]) for r, e in zip(rows, expected) if not e[5]}
+    assert left == sorted(str(tuple(r)) for r in documents(spark, rows).collect() if (r.doc_id, r.text) in clean)
+
+
+def test_sieve(spark):
+    keys = shared.stored(spark.range(1000).selectExpr("xxhash64(id) AS k"), "keys")
+    test = shared.sieve(keys, "k")
+    assert keys.where(test(F.col("k"))).count() == 1000
+    assert spark.range(5000, 15_000).where(test(F.xxhash64("id"))).count() < 1500
+    assert spark.range(100).where(shared.sieve(keys.limit(0), "k")(F.xxhash64("id"))).count() == 0
+
+
 def test_urls(spark, duck):
     link = '<LINK href="{}" rel=canonical>'
     rows = [
