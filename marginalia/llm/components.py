@@ -12,7 +12,7 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b") ->
     """Return (node, component): for every node of a link its component's smallest node.
 
     Large-star and small-star rounds in turn. Each round joins links to one minimum per node; minima come from
-    partial aggregates, and a hub's links are on the side of the join that adaptive execution splits, so a hub with
+    partial aggregates and are stored first, so both sides of the join are plain shuffles that adaptive execution splits: a hub with
     a third of all links is no hot task. Links of a node to itself and null ends are ignored; repeated and reversed
     links count once. No links: an empty table. Rounds are cut with scratch tables, and the one before is deleted.
     """
@@ -24,11 +24,13 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b") ->
         .distinct()
     )
     table = shared.stored(pairs, "links")
-    path, size = shared.last_path(), None
+    size, own = None, [shared.last_path()]
     while True:
-        fresh = shared.stored(_small_star(_large_star(table)), "links")
-        shared.dropped(spark, [path])
-        path = shared.last_path()
+        wide = shared.stored(_large_star(table, own), "links")
+        own.append(shared.last_path())
+        fresh = shared.stored(_small_star(wide, own), "links")
+        shared.dropped(spark, own)
+        own = [shared.last_path()]
         # Settled when every node points once, at a root; a sum over both ends notices any change.
         now = fresh.agg(
             F.count(F.lit(1)).alias("n"),
@@ -43,22 +45,22 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b") ->
     return stars.unionByName(roots)
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+def _least(rows: DataFrame, own: list[str]) -> DataFrame:
+    """Each node's smallest neighbour, from partial minima. Stored, so that a join with it deals plain rows, whose hot keys Spark splits."""
+    least = shared.stored(rows.groupBy("u").agg(F.min("v").alias("m")), "least")
+    own.append(shared.last_path())
+    return least
+
+
+def _large_star(links: DataFrame, own: list[str]) -> DataFrame:
     """Every larger neighbour of a node is linked to the node's smallest neighbour (itself included)."""
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return (
-        both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-    )
+    least = _least(both, own).select("u", F.least("u", "m").alias("m"))
+    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
-def _small_star(links: DataFrame) -> DataFrame:
+def _small_star(links: DataFrame, own: list[str]) -> DataFrame:
     """A node and its smaller neighbours are linked to the smallest of them. Here u > v holds for each link."""
-    least = links.groupBy("u").agg(F.min("v").alias("m"))
-    joined = links.join(least, "u")
-    return (
-        joined.select(F.col("v").alias("u"), F.col("m").alias("v"))
-        .unionByName(least.select("u", F.col("m").alias("v")))
-        .where("u <> v")
-        .distinct()
-    )
+    least = _least(links, own)
+    moved = links.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()

@@ -98,8 +98,8 @@ def _signatures(words_in: int):
                 lows.append(low)
                 bands.append(band_keys(minima(shingles)) if len(shingles) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(highs, pa.int64()), pa.array(lows, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
-                names=["id", "n_shingles", "high", "low", "bands"],
+                [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(highs, pa.int64()), pa.array(lows, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
+                names=["id", "h", "n_shingles", "high", "low", "bands"],
             )
 
     return run
@@ -113,7 +113,7 @@ def _sets(words_in: int):
                 *(batch.column(n).to_pylist() for n in ("node", "high", "low")), batch.column("text").cast(pa.binary()).to_pylist(), strict=True
             ):
                 shingles = shingle_set(text, words_in)
-                if len(shingles) and _set_id(shingles) == (high, low):  # else another row with the same id
+                if len(shingles) and _set_id(shingles) == (high, low):
                     nodes.append(node)
                     sets.append(shingles.view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
@@ -180,19 +180,19 @@ def near_duplicates(docs: DataFrame, percent: int = 75, words_in: int = 5, id_co
     Rows are linked when ``100 * |A & B| >= percent * |A | B|`` holds for their shingle sets; ``component_id`` is the smallest
     id reachable by links, itself included. Null and blank texts have an empty set and link with nothing, and so do
     rows with a null id (component null, kept). Rows that repeat an id are compared like any others. An empty table gives an
-    empty one. Only the two named columns are read.
+    empty one. Only the two named columns are read. Texts are read twice; the second time only those that share a bucket are shuffled.
     """
     spark = docs.sparkSession
     shared.ship(spark)
-    picked = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
-    schema = "id long, n_shingles long, high long, low long, bands array<long>"
+    picked = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"), F.xxhash64(F.coalesce(docs[text_col], F.lit(""))).alias("h"))
+    schema = "id long, h long, n_shingles long, high long, low long, bands array<long>"
     rows = shared.stored(shared.numbered(picked.mapInArrow(_signatures(words_in), schema)), "signatures")
 
     linked = rows.where("n_shingles > 0 and id is not null")
     nodes = shared.stored(
         linked.groupBy("high", "low").agg(
-            F.min("_rid").alias("node"), F.min("id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")
-        ),
+            F.min("_rid").alias("node"), F.min(F.struct("id", "h")).alias("first"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")
+        ).select("high", "low", "node", F.col("first.id").alias("first_id"), F.col("first.h").alias("h"), "n", "bands"),
         "nodes",
     )
     banded = nodes.select(F.explode("bands").alias("key"), "node", "n")
@@ -200,7 +200,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, words_in: int = 5, id_co
     members = shared.stored(banded.join(buckets, "key"), "members")
     # The member with the most company over all its buckets is the centre: of edited copies, the text they were made from.
     company = members.groupBy("node").agg(F.sum("size").alias("company"))
-    centres = members.join(company, "node").groupBy("key").agg(F.max(F.struct("company", (-F.col("node")).alias("minus"), "n")).alias("centre"))
+    centres = shared.stored(members.join(company, "node").groupBy("key").agg(F.max(F.struct("company", (-F.col("node")).alias("minus"), "n")).alias("centre")), "centres")
 
     stars = shared.stored(
         members.join(centres.select("key", (-F.col("centre.minus")).alias("centre"), F.col("centre.n").alias("m")), "key")
@@ -210,13 +210,13 @@ def near_duplicates(docs: DataFrame, percent: int = 75, words_in: int = 5, id_co
         .distinct(),
         "stars",
     )
-    wanted = members.select("node").distinct().join(nodes.select("node", "high", "low", "first_id"), "node")
+    wanted = shared.stored(members.select("node").distinct().join(nodes.select("node", "high", "low", F.col("first_id").alias("id"), "h", F.xxhash64("first_id", "h").alias("row")), "node"), "wanted")
+    texts = picked.where("text is not null and id is not null").where(shared.sieve(wanted, "row")(F.xxhash64("id", "h")))
     sets = shared.stored(
-        picked.where("text is not null and id is not null")
-        .join(wanted.hint("shuffle_hash"), F.col("id") == F.col("first_id"))
+        texts.groupBy("id", "h").agg(F.first("text").alias("text"))
+        .join(wanted, ["id", "h"])
         .select("node", "high", "low", "text")
-        .mapInArrow(_sets(words_in), "node long, shingles array<long>")
-        .dropDuplicates(["node"]),
+        .mapInArrow(_sets(words_in), "node long, shingles array<long>"),
         "sets",
     )
     links = shared.stored(_confirmed(stars, sets, percent), "confirmed")
@@ -224,7 +224,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, words_in: int = 5, id_co
 
     # What stars have not joined: members of one bucket in different components.
     placed = members.join(found, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("c"))
-    mixed_keys = placed.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key")
+    placed = shared.stored(placed, "placed")
+    mixed_keys = shared.stored(placed.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key"), "mixed")
     open_ = placed.join(mixed_keys, "key").select("node", "n", "c").distinct()
     rest = shared.stored(_prefix_pairs(open_, sets, percent), "rest")
     more = shared.stored(_confirmed(rest.join(stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti"), sets, percent), "confirmed")
@@ -232,8 +233,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, words_in: int = 5, id_co
         tops = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
         found = shared.stored(connected_components(tops.unionByName(more)), "components")
 
-    class_of = nodes.join(found, "node", "left").select("high", "low", "first_id", F.coalesce("component", "node").alias("component"))
-    least = class_of.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    class_of = shared.stored(nodes.join(found, "node", "left").select("high", "low", "first_id", F.coalesce("component", "node").alias("component")), "classes")
+    least = shared.stored(class_of.groupBy("component").agg(F.min("first_id").alias("component_id")), "least")
     return (
         rows.select("id", "n_shingles", "high", "low")
         .join(class_of.join(least, "component").select("high", "low", "component_id"), ["high", "low"], "left")

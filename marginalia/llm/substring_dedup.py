@@ -1,10 +1,13 @@
 """Operator 10: repeated substrings by seed and extend.
 
 Seeds: the winnowed minima of ``SEED``-word hashes over every window of ``WINDOW`` words. A window's seed depends on its words
-alone, so two documents that share a window share its seed. Consecutive windows with one seed form a run. A seed of two or more
-documents is extended both ways: first the whole run with all its context is matched (one row for about a dozen windows); where a seed's
-contexts differ, each window of each distinct context is matched by itself. All documents of a seed are matched at once by grouped
-minima, never pair by pair. Overlapping matched windows make up the maximal repeats that are cut.
+alone, so two documents that share a window share its seed. Consecutive windows with one seed form a run, the context of an anchor. An anchor of
+two or more documents is extended both ways by all the words of its context at once (one row for about a dozen windows). Where an anchor's
+contexts differ, it is extended by each way to divide the missing ``WINDOW - SEED`` words between its left and its right: that is one window
+for each division, equal for two documents just if they agree that far on both sides. All documents of an anchor are extended at once by grouped
+minima, never pair by pair. Matched windows that overlap make up the maximal repeats, which are what is cut; a repeat shorter than a window has none.
+
+Windows are compared by a 64-bit hash among those whose anchors, 25 words, have equal 64-bit hashes too; words themselves aren't compared.
 """
 
 from __future__ import annotations
@@ -50,8 +53,8 @@ def _winnow(window: int, seed: int):
                 for name, value in (("n_words", len(words)), ("high", high), ("low", low), ("sha", hashlib.sha256(joined).hexdigest()), ("seeds", own)):
                     out[name].append(value)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(out[n], pa.int64()) for n in ("n_words", "high", "low")), pa.array(out["sha"]), pa.array(out["seeds"], pa.list_(pa.int64()))],
-                names=["id", "n_words", "high", "low", "sha", "seeds"],
+                [batch.column(0), batch.column(2), *(pa.array(out[n], pa.int64()) for n in ("n_words", "high", "low")), pa.array(out["sha"]), pa.array(out["seeds"], pa.list_(pa.int64()))],
+                names=["id", "h", "n_words", "high", "low", "sha", "seeds"],
             )
 
     return run
@@ -68,7 +71,7 @@ def _runs(window: int, seed: int):
             ):
                 words = hashing.split_words(text, lower=False)
                 if len(words) < window or _signed(xxhash.xxh3_128_digest(b" ".join(words))) != (high, low):
-                    continue  # another row with the same id
+                    continue
                 hashes = hashing.word_hashes(words)
                 own = seeds(hashes, window, seed)
                 frames = hashing.gram_hashes(hashes, window, hashing.P2).view(np.int64)
@@ -132,25 +135,27 @@ def removed_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, id_
     """
     spark = docs.sparkSession
     shared.ship(spark)
-    picked = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
-    schema = "id long, n_words long, high long, low long, sha string, seeds array<long>"
+    picked = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"), F.xxhash64(F.coalesce(docs[text_col], F.lit(""))).alias("h"))
+    schema = "id long, h long, n_words long, high long, low long, sha string, seeds array<long>"
     rows = shared.stored(shared.numbered(picked.mapInArrow(_winnow(window, seed), schema)), "winnowed")
 
     # Equal word sequences are one class: only its first document is searched, the others lose every word.
     classes = shared.stored(
         rows.where("seeds is not null and id is not null")
         .groupBy("high", "low")
-        .agg(F.min("_rid").alias("class"), F.min("id").alias("d"), F.first("seeds").alias("seeds")),
+        .agg(F.min("_rid").alias("class"), F.min(F.struct("id", "h")).alias("first"), F.first("seeds").alias("seeds"))
+        .select("high", "low", "class", F.col("first.id").alias("d"), F.col("first.h").alias("h"), "seeds"),
         "classes",
     )
     seeded = classes.select(F.explode("seeds").alias("seed"), "class")
     common = seeded.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("seed")
     touched = seeded.join(common, "seed").groupBy("class").agg(F.collect_list("seed").alias("shared"))
-    wanted = touched.join(classes.select("class", "d", "high", "low"), "class")
+    wanted = shared.stored(touched.join(classes.select("class", "d", "h", "high", "low", F.xxhash64("d", "h").alias("row")), "class"), "wanted")
+    texts = picked.where("id is not null and text is not null").where(shared.sieve(wanted.select("row"), "row")(F.xxhash64("id", "h")))
     runs = shared.stored(
-        picked.where("id is not null and text is not null")
-        .join(wanted.hint("shuffle_hash"), F.col("id") == F.col("d"))
-        .select("class", "d", "high", "low", "shared", "text")
+        texts.groupBy("id", "h").agg(F.first("text").alias("text"))
+        .join(wanted.withColumnRenamed("d", "id"), ["id", "h"])
+        .select("class", F.col("id").alias("d"), "high", "low", "shared", "text")
         .mapInArrow(_runs(window, seed), "class long, d long, seed long, start long, high long, low long, frames array<long>, text binary"),
         "runs",
     )
@@ -162,9 +167,10 @@ def removed_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, id_
     frames = shared.stored(
         spans.join(split, "seed").select("seed", "high", "low", "d0", F.posexplode("frames").alias("at", "frame")), "frames"
     )
-    first = frames.groupBy("seed", "frame").agg(F.min("d0").alias("m0"), F.max("d0").alias("m1")).where("m0 < m1").drop("m1")
+    # Minima are stored before rows are joined with them: the join then deals plain rows, and a passage that many contexts share is split.
+    first = shared.stored(frames.groupBy("seed", "frame").agg(F.min("d0").alias("m0"), F.max("d0").alias("m1")).where("m0 < m1").drop("m1"), "first")
     some = frames.join(first, ["seed", "frame"]).where("m0 < d0").groupBy("seed", "high", "low").agg(F.collect_list("at").alias("some"))
-    known = spans.select("seed", "high", "low", "d0").join(some, ["seed", "high", "low"], "left")
+    known = shared.stored(spans.select("seed", "high", "low", "d0").join(some, ["seed", "high", "low"], "left"), "known")
     flagged = (
         runs.select("class", "d", "seed", "start", "high", "low", F.size("frames").alias("n"))
         .join(known, ["seed", "high", "low"])
@@ -179,12 +185,11 @@ def removed_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, id_
         .select("class", "text")
         .join(flagged, "class")
         .mapInArrow(_cut(window, with_text), cut_schema)
-        .dropDuplicates(["class"])
     )
     per_class = classes.select("class", "d", "high", "low").join(cut, "class", "left").drop("class")
     later = F.coalesce(F.col("id") > F.col("d"), F.lit(False))
     own = F.col("id").eqNullSafe(F.col("d"))
-    result = rows.drop("seeds", "_rid").join(per_class, ["high", "low"], "left").select(
+    result = rows.drop("seeds", "_rid", "h").join(per_class, ["high", "low"], "left").select(
         F.col("id").alias(id_col),
         "n_words",
         F.when(later, F.col("n_words")).when(own, F.coalesce("cut", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_removed"),

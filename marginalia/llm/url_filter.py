@@ -101,11 +101,10 @@ def judged(pages: DataFrame, rules: DataFrame | None = None, redirects: DataFram
     )
     own = shared.stored(matched(addresses.where("host <> ''").distinct(), rules), "ruled")
     classes = connected_components(links)
+    classes = shared.stored(classes, "classes")
+    marks = classes.join(own, "node").groupBy("component").agg(F.max(F.col("own") == "allow").alias("any_allow"), F.max(F.col("own") == "block").alias("any_block"))
     decided = (
-        classes.join(own, "node")
-        .groupBy("component")
-        .agg(F.max(F.col("own") == "allow").alias("any_allow"), F.max(F.col("own") == "block").alias("any_block"))
-        .join(classes, "component")
+        classes.join(shared.stored(marks, "marks"), "component")
         .select("node", (F.col("any_block") & ~F.col("any_allow")).alias("spread"))
     )
     return (
