@@ -6,8 +6,9 @@ substrings, one table for each; a pair is retrieved when a substring is equal an
 by exact cosine in double precision. Substring length follows the largest label, so buckets stay small as tables grow, and the
 number of tables follows from the length so that a pair at the threshold is missed with probability below ``MISS``.
 
-Equal vectors are one node with a weight. A bucket of more than ``BLOCK`` nodes is dealt out as pairs of blocks, so no task holds a hot
-bucket. A block pair returns counts and a spanning forest of its links, never the links themselves.
+Equal vectors are one node with a weight. Buckets of at most ``BLOCK`` nodes share Arrow groups of about ``GROUP`` nodes. A larger bucket is
+dealt out as pairs of blocks, so no task holds a hot bucket; its pairs are all compared. A group returns counts and a spanning forest of its
+links, never the links themselves. Vectors travel in their own precision and are compared in double precision.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import shared
 from .components import connected_components
@@ -28,6 +30,8 @@ from .components import connected_components
 SAMPLE, ROUNDS, MISS = 20_000, 30, 1e-4
 #: Nodes of a block, and about as many that a bucket should hold.
 BLOCK, BUCKET = 1024, 32
+#: Nodes that one Arrow group of small buckets holds on average.
+GROUP = 4096
 
 
 def rotation(sample: np.ndarray, seed: int) -> np.ndarray:
@@ -58,66 +62,82 @@ def _vector(values: list | None) -> np.ndarray | None:
     return x if np.isfinite(x).all() and x.any() else None
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        packed, highs, lows, sizes = [], [], [], []
-        for label, values in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            x = _vector(values) if label is not None else None
-            raw = None if x is None else x.tobytes()
-            high, low = (None, None) if raw is None else np.frombuffer(xxhash.xxh3_128_digest(raw), dtype=np.int64).tolist()
-            packed.append(raw)
-            highs.append(high)
-            lows.append(low)
-            sizes.append(None if x is None else len(x))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(packed, pa.binary()), pa.array(highs, pa.int64()), pa.array(lows, pa.int64()), pa.array(sizes, pa.int32())],
-            names=["id", "label", "vector", "high", "low", "dim"],
-        )
+def _read(kind: str):
+    """Labels, ids and the bytes of good vectors in their own precision."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed, highs, lows, sizes = [], [], [], []
+            for label, values in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                x = _vector(values) if label is not None else None
+                raw = None if x is None else x.astype(kind).tobytes()
+                high, low = (None, None) if raw is None else np.frombuffer(xxhash.xxh3_128_digest(raw), dtype=np.int64).tolist()
+                packed.append(raw)
+                highs.append(high)
+                lows.append(low)
+                sizes.append(None if x is None else len(x))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(packed, pa.binary()), pa.array(highs, pa.int64()), pa.array(lows, pa.int64()), pa.array(sizes, pa.int32())],
+                names=["id", "label", "vector", "high", "low", "dim"],
+            )
+
+    return run
 
 
-def _coded(turns: dict[int, np.ndarray], bits: int, tables: int):
+def _coded(turns: dict[int, np.ndarray], bits: int, tables: int, kind: str):
     weights = 1 << np.arange(bits, dtype=np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             subs = []
             for raw, dim in zip(batch.column("vector").to_pylist(), batch.column("dim").to_pylist(), strict=True):
-                signs = np.frombuffer(raw) @ turns[dim] >= 0
+                signs = np.frombuffer(raw, dtype=kind).astype(np.float64) @ turns[dim] >= 0
                 subs.append((signs[: bits * tables].reshape(tables, bits) @ weights).astype(np.int32))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(subs, pa.list_(pa.int32()))], names=[*batch.schema.names, "subs"])
 
     return run
 
 
-def _linked(bits: int, radius: int, threshold: float):
-    """Links inside one block pair of a bucket: (a, null, count) for each linked node, and (a, b, null) for a spanning forest."""
+def _block_pairs(block: np.ndarray, one: int, two: int, node: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of all pairs between two blocks of a large bucket, or inside one."""
+    rows, columns = np.flatnonzero(block == one), np.flatnonzero(block == two)
+    for start in range(0, len(rows), 64):
+        i, j = (x.ravel() for x in np.meshgrid(rows[start : start + 64], columns, indexing="ij"))
+        keep = node[i] < node[j] if one == two else slice(None)
+        yield i[keep], j[keep]
+
+
+def _bucket_pairs(sub: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of all pairs inside each of many small buckets, by their distance in sorted order."""
+    order = np.argsort(sub, kind="stable")
+    own = sub[order]
+    left = np.arange(len(own))
+    for lag in range(1, len(own)):
+        left = left[left + lag < len(own)]
+        left = left[own[left] == own[left + lag]]
+        if not len(left):
+            return
+        yield order[left], order[left + lag]
+
+
+def _linked(radius: int, threshold: float, kind: str):
+    """Links inside a group: (a, null, count) for each linked node, and (a, b, null) for a spanning forest."""
 
     def run(table: pa.Table) -> pa.Table:
-        place = table.column("t")[0].as_py()
-        node, copies = table.column("node").to_numpy(), table.column("copies").to_numpy()
+        place, one, two = (table.column(n)[0].as_py() for n in ("t", "one", "two"))
+        node, copies, sub = (table.column(n).to_numpy() for n in ("node", "copies", "sub"))
         subs = np.array(table.column("subs").to_pylist(), dtype=np.int32)
-        block = table.column("block").to_numpy()
-        vectors = np.stack([np.frombuffer(raw) for raw in table.column("vector").to_pylist()])
+        vectors = np.stack([np.frombuffer(raw, dtype=kind) for raw in table.column("vector").to_pylist()]).astype(np.float64)
         norms = np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
-        one, two = table.column("one")[0].as_py(), table.column("two")[0].as_py()
-        rows, columns = np.flatnonzero(block == one), np.flatnonzero(block == two)
+        large = table.column("slot")[0].as_py() < 0
         lefts, rights = [], []
-        for start in range(0, len(rows), 256):
-            part = rows[start : start + 256]
-            apart = np.zeros((len(part), len(columns)), dtype=np.int32)
-            for k in range(subs.shape[1]):
-                apart += np.bitwise_count(subs[part, k][:, None] ^ subs[columns, k][None, :])
-            i, j = np.nonzero(apart <= radius)
-            i, j = part[i], columns[j]
-            keep = node[i] < node[j] if one == two else np.ones(len(i), dtype=bool)
-            i, j = i[keep], j[keep]
-            for at in range(0, len(i), 65_536):
-                a, b = i[at : at + 65_536], j[at : at + 65_536]
-                new = ~(subs[a, :place] == subs[b, :place]).any(axis=1)  # else an earlier table has the pair
-                a, b = a[new], b[new]
-                near = np.einsum("ij,ij->i", vectors[a], vectors[b]) / (norms[a] * norms[b]) >= threshold
-                lefts.append(a[near])
-                rights.append(b[near])
+        for i, j in _block_pairs(table.column("block").to_numpy(), one, two, node) if large else _bucket_pairs(sub):
+            apart = np.bitwise_count(subs[i] ^ subs[j])
+            new = (apart.sum(axis=1) <= radius) & (apart[:, :place] > 0).all(axis=1)  # else an earlier table has the pair
+            i, j = i[new], j[new]
+            near = np.einsum("ij,ij->i", vectors[i], vectors[j]) / (norms[i] * norms[j]) >= threshold
+            lefts.append(i[near])
+            rights.append(j[near])
         a = np.concatenate(lefts) if lefts else np.empty(0, dtype=np.int64)
         b = np.concatenate(rights) if rights else np.empty(0, dtype=np.int64)
         counts = np.bincount(a, copies[b], len(node)) + np.bincount(b, copies[a], len(node))
@@ -152,8 +172,9 @@ def near_embeddings(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
     spark = vectors.sparkSession
     shared.ship(spark)
     picked = vectors.select(vectors[id_col].cast("long").alias("id"), vectors[label_col].cast("string").alias("label"), vectors[vector_col].alias("v"))
+    kind = "f4" if isinstance(vectors.schema[vector_col].dataType.elementType, T.FloatType) else "f8"
     rows = shared.stored(
-        shared.numbered(picked.mapInArrow(_read, "id long, label string, vector binary, high long, low long, dim int")), "vectors"
+        shared.numbered(picked.mapInArrow(_read(kind), "id long, label string, vector binary, high long, low long, dim int")), "vectors"
     )
     good = rows.where("vector is not null and id is not null")
     nodes = shared.stored(
@@ -167,16 +188,19 @@ def near_embeddings(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
     sampled = nodes.select("dim", "vector", F.xxhash64("high", "low").alias("o")).orderBy("o").limit(SAMPLE).collect()
     turns = {}
     for (dim,) in nodes.select("dim").distinct().collect():
-        sample = np.array([np.frombuffer(r["vector"]) for r in sampled if r["dim"] == dim]).reshape(-1, dim)
+        sample = np.array([np.frombuffer(r["vector"], dtype=kind) for r in sampled if r["dim"] == dim], dtype=np.float64).reshape(-1, dim)
         sample /= np.linalg.norm(sample, axis=1, keepdims=True)
         turns[dim] = np.concatenate([rotation(sample, seed) for seed in range(-(-bits * tables // dim))], axis=1)
     schema = "node long, label string, dim int, copies long, vector binary, subs array<int>"
-    coded = shared.stored(nodes.select("node", "label", "dim", "copies", "vector").mapInArrow(_coded(turns, bits, tables), schema), "codes")
+    coded = shared.stored(nodes.select("node", "label", "dim", "copies", "vector").mapInArrow(_coded(turns, bits, tables, kind), schema), "codes")
 
     entries = coded.select("*", F.posexplode("subs").alias("t", "sub"))
     buckets = coded.select("label", "dim", F.posexplode("subs").alias("t", "sub")).groupBy("label", "dim", "t", "sub").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    buckets = shared.stored(buckets, "buckets")
+    groups = max(1, most // GROUP)
     dealt = (
         entries.join(buckets, ["label", "dim", "t", "sub"])
+        .withColumn("slot", F.when(F.col("size") > BLOCK, -1 - F.col("sub")).otherwise(F.pmod(F.xxhash64("sub"), F.lit(groups)).cast("int")))
         .withColumn("blocks", F.ceil(F.col("size") / F.lit(BLOCK)).cast("int"))
         .withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -184,9 +208,9 @@ def near_embeddings(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
         .withColumn("two", F.greatest("block", "other"))
     )
     found = shared.stored(
-        dealt.select("label", "dim", "t", "sub", "one", "two", "block", "node", "copies", "vector", "subs")
-        .groupBy("label", "dim", "t", "sub", "one", "two")
-        .applyInArrow(_linked(bits, radius, threshold), "a long, b long, n long"),
+        dealt.select("label", "dim", "t", "slot", "one", "two", "sub", "block", "node", "copies", "vector", "subs")
+        .groupBy("label", "dim", "t", "slot", "one", "two")
+        .applyInArrow(_linked(radius, threshold, kind), "a long, b long, n long"),
         "links",
     )
     counts = found.where("n is not null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
@@ -196,7 +220,8 @@ def near_embeddings(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
         .join(classes, "node", "left")
         .select("label", "high", "low", "dim", "first_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("c"))
     )
-    least = placed.groupBy("c").agg(F.min("first_id").alias("component_id"))
+    placed = shared.stored(placed, "placed")
+    least = shared.stored(placed.groupBy("c").agg(F.min("first_id").alias("component_id")), "least")
     return (
         rows.select("id", "label", "high", "low", "dim")
         .join(placed.join(least, "c").drop("c", "first_id"), ["label", "high", "low", "dim"], "left")

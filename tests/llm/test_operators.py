@@ -171,6 +171,19 @@ def test_embeddings(spark):
     assert embedding_dedup.near_embeddings(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_embedding_clashes_and_long_vectors(spark):
+    """Columns named as those inside, double precision, vectors of 500 components, repeated ids and rows."""
+    rng = np.random.default_rng(6)
+    base = rng.standard_normal((12, 500))
+    vectors = np.vstack([base, base[:4] + 0.05 * rng.standard_normal((4, 500)), base[:2]])
+    rows = [(i, x.tolist(), "a", 1, "n", b"v") for i, x in enumerate(vectors)] + [(3, vectors[3].tolist(), "a", 1, "n", b"v")]
+    table = spark.createDataFrame(rows, "vec_id int, embedding array<double>, label string, sub int, node string, vector binary")
+    found = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_embeddings(table).collect())
+    near = {i: [j for j, (_, y, *_) in enumerate(rows) if j != i and np.dot(x, y) / np.linalg.norm(x) / np.linalg.norm(y) >= 0.98] for i, (_, x, *_) in enumerate(rows)}
+    ids = [r[0] for r in rows]
+    assert found == sorted((ids[i], len(js), min([ids[i], *(ids[j] for j in js)]), ids[i] == min([ids[i], *(ids[j] for j in js)])) for i, js in near.items())
+
+
 def test_embedding_blocks(spark, monkeypatch):
     """A bucket larger than a block is dealt out and still counts every link once."""
     monkeypatch.setattr(embedding_dedup, "BLOCK", 16)
