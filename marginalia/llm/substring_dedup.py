@@ -163,7 +163,7 @@ def removed_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, id_
         runs.groupBy("seed", "high", "low").agg(F.min("d").alias("d0"), F.first("frames").alias("frames")), "spans"
     )
     # Seeds with several contexts: their windows one by one, once per distinct context.
-    split = spans.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("seed")
+    split = shared.stored(spans.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("seed"), "split")
     frames = shared.stored(
         spans.join(split, "seed").select("seed", "high", "low", "d0", F.posexplode("frames").alias("at", "frame")), "frames"
     )

@@ -66,18 +66,22 @@ def matched(addresses: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def alias_links(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
-    """(a, b, url_b) for each page's canonical link and redirect. Absolute, ``//host`` and ``/path`` targets are followed; others are ignored."""
+    """(a, b, url_b) for each of a page's canonical links and redirects.
+
+    Targets may be absolute or relative to the page: ``//host``, ``/path``, ``?query`` or a name beside it. Other schemes without ``://`` and bare
+    fragments are ignored; dot segments are taken as they stand.
+    """
     url, html = pages[url_col], pages[html_col]
-    targets = F.array(
-        F.regexp_extract(F.regexp_extract(html, _CANONICAL, 0), _HREF, 1),
-        F.regexp_extract(F.regexp_extract(html, _REFRESH, 0), _REFRESH_URL, 1),
-    )
+    links, moves = (F.regexp_extract_all(html, F.lit(p), F.lit(0)) for p in (_CANONICAL, _REFRESH))
+    targets = F.concat(F.transform(links, lambda x: F.regexp_extract(x, _HREF, 1)), F.transform(moves, lambda x: F.regexp_extract(x, _REFRESH_URL, 1)))
     found = pages.where(html.rlike("(?i)canonical|refresh") & url.contains("://")).select(url.alias("url"), F.explode(targets).alias("t"))
     scheme, origin = F.regexp_extract("url", "^([^:/?#]*):", 1), F.regexp_extract("url", "(?s)^(.*?://[^/?#]*)", 1)
     to = (
         F.when(F.col("t").contains("://"), F.col("t"))
         .when(F.col("t").startswith("//"), F.concat(scheme, F.lit(":"), F.col("t")))
         .when(F.col("t").startswith("/"), F.concat(origin, F.col("t")))
+        .when(F.col("t").startswith("?"), F.concat(origin, path_of(F.col("url")), F.col("t")))
+        .when(F.col("t").rlike("^[^#:?/]+([/?#]|$)"), F.concat(origin, F.regexp_replace(path_of(F.col("url")), "(?s)[^/]*$", ""), F.when(path_of(F.col("url")) == "", "/").otherwise(""), F.col("t")))
     )
     return found.select("url", to.alias("url_b")).where("url_b is not null").select(node_of(F.col("url")).alias("a"), node_of(F.col("url_b")).alias("b"), "url_b")
 
@@ -121,10 +125,15 @@ def judged(pages: DataFrame, rules: DataFrame | None = None, redirects: DataFram
 
 
 def kept_pages(pages: DataFrame, **named) -> DataFrame:
-    """``pages`` without blocked rows."""
-    id_col = named.get("id_col", "page_id")
-    blocked = judged(pages, **named).where("verdict = 'block'").select(F.col(id_col).alias("_blocked")).distinct()
-    return pages.join(blocked, pages[id_col].eqNullSafe(blocked["_blocked"]), "left_anti")
+    """``pages``, all columns, without blocked rows.
+
+    Rows are judged by their URL, so of rows that share an id, or have none, only the blocked ones go. Null URLs stay, repeated rows share their fate,
+    an empty table gives an empty one.
+    """
+    url = named.get("url_col", "url")
+    judged_urls = judged(pages.select(pages[url].alias("page_id"), pages[url].alias("url"), pages[named.get("html_col", "html")].alias("html")), named.get("rules"), named.get("redirects"))
+    blocked = judged_urls.where("verdict = 'block'").select(F.col("page_id").alias("_blocked")).distinct()
+    return pages.join(blocked, pages[url] == blocked["_blocked"], "left_anti")
 
 
 #: DuckDB SQL of the production query.
@@ -136,14 +145,17 @@ WITH RECURSIVE page AS (
   FROM pages),
 rules(verdict, rule_host, rule_path) AS (VALUES ('block','com','/en/'), ('allow','example.com','/en/7'), ('allow','net','/de/'), ('block','example.net','/de/8'), ('block','org','/es/')),
 target AS (
-  SELECT url, unnest([
-    regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>', 0), '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
-    regexp_extract(regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>', 0), '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1)]) AS t
+  SELECT url, path, unnest(list_concat(
+    list_transform(regexp_extract_all(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), lambda x: regexp_extract(x, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)),
+    list_transform(regexp_extract_all(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), lambda x: regexp_extract(x, '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1)))) AS t
   FROM page WHERE contains(url, '://')),
 resolved AS (
   SELECT url, CASE WHEN contains(t, '://') THEN t
                    WHEN starts_with(t, '//') THEN regexp_extract(url, '^([^:/?#]*):', 1) || ':' || t
-                   WHEN starts_with(t, '/') THEN regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || t END AS url_b
+                   WHEN starts_with(t, '/') THEN regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || t
+                   WHEN starts_with(t, '?') THEN regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || path || t
+                   WHEN regexp_matches(t, '^[^#:?/]+([/?#]|$)')
+                     THEN regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || regexp_replace(path, '(?s)[^/]*$', '') || CASE WHEN path = '' THEN '/' ELSE '' END || t END AS url_b
   FROM target WHERE t <> ''),
 address AS (
   SELECT url FROM page WHERE contains(url, '://') UNION SELECT url_b FROM resolved WHERE url_b IS NOT NULL),

@@ -325,6 +325,8 @@ def test_urls(spark, duck):
         (1, "https://a.example.com/en/1", None), (2, "http://x.org/1", link.format("https://a.example.com/en/1")), (3, "http://y.org/2?q=1#f", '<meta http-equiv="refresh" content="0; url=//x.org/1">'),
         (4, "http://example.com/en/7x", ""), (5, "http://z.org/3", link.format("http://example.com/en/7x")), (6, None, None), (7, "no scheme", link.format("http://a.com/en/")), (8, "http://Sub.NET/de/9", None),
         (9, "ftp://example.net/de/8?x", None), (10, "http://w.org/4", link.format("/es/5")), (11, "http://w.org/4", link.format("/es/5")), (12, "http://comx/en/", None),
+        (13, "http://r.org/d/a", link.format("b?x") + link.format("?q")), (14, "http://r.org/d/b?x", link.format("https://s.com/en/9")), (15, "http://r.org/d/a?q", None), (16, "http://t.org", link.format("mailto:x") + link.format("u")), (17, "http://t.org/u", link.format("https://s.com/en/9")),
+        (18, "http://v.org/long", "<p>" + "x" * 300_000 + link.format("https://s.com/en/9")), (None, "http://com/en/", None), (None, "http://w.net/", None),
     ]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     found = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judged(pages).collect()}
@@ -334,14 +336,18 @@ def test_urls(spark, duck):
     assert found[6] == ("", "", None, "allow") and found[7] == ("", "", None, "allow")
     assert found[8] == ("sub.net", "/de/9", "net/de/", "allow") and found[9][2:] == ("example.net/de/8", "block")
     assert found[10][2:] == found[11][2:] == (None, "block") and found[12][2:] == (None, "allow")
-    assert sorted(r.page_id for r in url_filter.kept_pages(pages).collect()) == [4, 5, 6, 7, 8, 12]
+    assert sorted(str(r.page_id) for r in url_filter.kept_pages(pages).collect()) == sorted(["4", "5", "6", "7", "8", "12", "None"])
+    assert all(found[i][2:] == (None, "block") for i in (13, 14, 15, 16, 17, 18))
+    clash = pages.withColumnsRenamed({"page_id": "node", "url": "host", "html": "rule"}).withColumn("component", F.lit(1))
+    again = url_filter.judged(clash, id_col="node", url_col="host", html_col="rule").collect()
+    assert sorted(str(tuple(r)) for r in again) == sorted(str(tuple(r)) for r in url_filter.judged(pages).collect())
     assert url_filter.judged(pages.limit(0)).count() == 0
     import duckdb
 
     frame = pages.toPandas()  # noqa: F841  DuckDB reads it by name
     con = duckdb.connect()
     con.register("pages", frame)
-    assert {r[0]: tuple(r[1:]) for r in con.sql(url_filter.ORACLE).fetchall()} == found
+    assert {r[0]: tuple(r[1:]) for r in con.sql(url_filter.ORACLE).fetchall() if r[0] is not None and r[0] == r[0]} == {k: v for k, v in found.items() if k is not None}
 
 
 def test_quality(spark):
