@@ -4,10 +4,14 @@ Every document has one integer key per metadata dimension: its scaled coordinate
 split along the dimension in which its documents spread widest, at the weighted median of bytes (or the fraction that its two halves'
 shard counts call for), until each leaf is one shard. Medians come from distributed histograms that narrow in on the split; the driver sees
 a bounded number of bin totals for each level, never documents.
+
+Documents of equal text are one point, that of the smallest id, and so share a shard, unless they hold more than ``WHOLE`` of a shard's bytes
+together: a larger group is dealt like any other rows, or shards could not be near equal.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -22,6 +26,9 @@ _TOP = (1 << 2 * _BITS) - 1
 _TOTALS, _LEAST_BINS = 8192, 64
 #: A split is taken at a bin's edge if it is off by less than this share of a shard.
 TOLERANCE = 0.001
+#: Share of a shard's bytes up to which a group of equal texts stays whole.
+WHOLE = 0.02
+_TEXT = ["_t", "text_crc32", "size"]
 
 
 @dataclass
@@ -33,6 +40,7 @@ class Tree:
     shards: int
     levels: list[tuple[list[int], list[int]]] = field(default_factory=list)
     leaves: dict[int, int] = field(default_factory=dict)
+    copies: DataFrame | None = None  # a stored table: the point of each group of equal texts that stays whole
 
     def assigned(self, df: DataFrame, keys: list[str], name: str = "shard") -> DataFrame:
         """Add the shard of each row by its key columns; plain expressions, no shuffle."""
@@ -76,16 +84,28 @@ def _light(docs: DataFrame, dimensions: list[str], id_col: str, text_col: str, *
         docs[id_col].alias("id"),
         size.alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.xxhash64(text).alias("_t"),
         *(_coordinate(docs, d).alias(f"_x{i}") for i, d in enumerate(dimensions)),
         *more,
     )
 
 
+def _gathered(light: DataFrame, copies: DataFrame, dimensions: int) -> DataFrame:
+    """Rows of a group that stays whole take its point; ``_whole`` marks them. Only rows that may be of such a group are shuffled."""
+    own = [f"_x{i}" for i in range(dimensions)]
+    may_be = shared.sieve(copies, "hash")(F.xxhash64(*_TEXT))
+    points = copies.select(*_TEXT, F.lit(True).alias("_in"), *(F.col(x).alias(f"_p{x}") for x in own))
+    rest = [c for c in light.columns if c not in own]
+    found = light.where(may_be).join(points, _TEXT, "left").withColumn("_whole", F.coalesce("_in", F.lit(False)))
+    moved = found.select(*rest, *(F.when(F.col("_whole"), F.col(f"_p{x}")).otherwise(F.col(x)).alias(x) for x in own), "_whole")
+    return light.where(~may_be).select(*rest, *own, F.lit(False).alias("_whole")).unionByName(moved)
+
+
 def _keyed(light: DataFrame, scales: list[tuple[float, float]], *more: str) -> DataFrame:
     keys = []
     for i, (low, high) in enumerate(scales):
         unit = (F.coalesce(F.col(f"_x{i}"), F.lit(low)) - F.lit(low)) / F.lit(max(high - low, 1e-9))
-        tie = F.expr(f"xxhash64(id, text_crc32, size, {i})").bitwiseAND(F.lit((1 << _BITS) - 1))
+        tie = F.expr(f"if(_whole, xxhash64(_t, size, {i}), xxhash64(id, text_crc32, size, {i}))").bitwiseAND(F.lit((1 << _BITS) - 1))
         keys.append((F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), unit)) * float((1 << _BITS) - 1)).cast("long") * F.lit(1 << _BITS) + tie).alias(f"_k{i}"))
     return light.select("id", "size", "text_crc32", *keys, *more)
 
@@ -112,8 +132,11 @@ def _split_keys(table: DataFrame, tree: Tree, keys: list[str], wanted: dict[int,
             .agg(F.sum("size").alias("bytes"), F.min("_key").alias("lo"), F.max("_key").alias("hi"))
             .collect()
         )
+        by_node = defaultdict(list)
+        for r in totals:
+            by_node[r["_node"]].append(r)
         for n, (_, _, before) in open_.items():
-            goal, own = wanted[n][3], sorted((r for r in totals if r["_node"] == n), key=lambda r: r["lo"])
+            goal, own = wanted[n][3], sorted(by_node[n], key=lambda r: r["lo"])
             left, previous = before, own[0]["lo"] - 1
             for r in own:
                 after = left + r["bytes"]
@@ -161,16 +184,21 @@ def kd_shards(docs: DataFrame, shards: int | None = 40, target_bytes: int | None
 
     ``shards`` leaves, or as many as ``target_bytes`` needs. Size is the text's UTF-8 bytes plus 16 (null: 16). The law is ``bytes``: shards are
     near equal in bytes, ``grown_shard`` is null. ``slot`` is gapless from 0 in each shard. Null coordinates sort first;
-    missing dimensions are left out, and without any the row hash alone orders documents. Rows equal in id, size and text stay
-    together; other ties are split by hash. An empty table gives an empty manifest.
+    missing dimensions are left out, and without any the row hash alone orders documents. Equal texts (null and empty ones are equal) share a
+    shard unless they hold more than ``WHOLE`` of a shard's bytes together; rows equal in id, too, always do. Other ties are split by hash. A very
+    long text may outweigh a shard by itself. An empty table gives an empty manifest. Other columns may have any name.
     """
     names = [d for d in dimensions if d in docs.columns] or [id_col]
     light = shared.stored(_light(docs, names, id_col, text_col), "coordinates")
     ends = light.agg(F.sum("size").alias("bytes"), *(f(f"_x{i}").alias(f"{n}{i}") for i in range(len(names)) for n, f in (("lo", F.min), ("hi", F.max)))).first()
     count = shards if target_bytes is None else max(1, -(-int(ends["bytes"] or 0) // target_bytes))
     scales = [(float(ends[f"lo{i}"] or 0), float(ends[f"hi{i}"] or 0)) for i in range(len(names))]
-    table = shared.stored(shared.numbered(_keyed(light, scales)), "keys")
+    point = F.min(F.struct("id", *(f"_x{i}" for i in range(len(names))))).alias("p")
+    copies = light.groupBy(*_TEXT).agg(F.count(F.lit(1)).alias("n"), point).where((F.col("n") > 1) & (F.col("n") * F.col("size") <= WHOLE * float(ends["bytes"] or 0) / count))
+    copies = shared.stored(copies.select(*_TEXT, F.xxhash64(*_TEXT).alias("hash"), *(F.col(f"p._x{i}").alias(f"_x{i}") for i in range(len(names)))), "copies")
+    table = shared.stored(shared.numbered(_keyed(_gathered(light, copies, len(names)), scales)), "keys")
     tree = fitted(table, names, scales, count)
+    tree.copies = copies
     placed = tree.assigned(table, [f"_k{i}" for i in range(len(names))])
     manifest = shared.ranked(placed, "shard", "_rid", "slot").select(
         F.col("id").alias(id_col), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
@@ -179,13 +207,17 @@ def kd_shards(docs: DataFrame, shards: int | None = 40, target_bytes: int | None
 
 
 def with_shard(docs: DataFrame, tree: Tree, id_col: str = "doc_id", text_col: str = "text", name: str = "shard") -> DataFrame:
-    """``docs`` with all its columns and each row's shard, by expressions alone; the texts are not shuffled."""
+    """``docs`` with all its columns and each row's shard, as the manifest has it for any null, repeated or empty row; an empty table gives an empty one.
+
+    The shard follows from expressions over the row. Only texts of groups that stay whole are shuffled, to find their group's point.
+    """
     row = F.struct(*(docs[c] for c in docs.columns)).alias("_row")
-    keyed = _keyed(_light(docs, tree.dimensions, id_col, text_col, row), tree.scales, "_row")
+    light = _light(docs, tree.dimensions, id_col, text_col, row)
+    keyed = _keyed(_gathered(light, tree.copies, len(tree.dimensions)), tree.scales, "_row")
     placed = tree.assigned(keyed, [f"_k{i}" for i in range(len(tree.scales))], "_shard")
     return placed.select("_row.*", F.col("_shard").alias(name))
 
 
 def write_shards(docs: DataFrame, tree: Tree, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write one folder of Parquet files per shard; several tasks write a shard's files."""
+    """Write one folder of Parquet files per shard, all rows of ``with_shard``; several tasks write a shard's files. Replaces what is at ``path``."""
     with_shard(docs, tree, id_col, text_col).write.partitionBy("shard").mode("overwrite").parquet(path)

@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from collections import defaultdict
 
 import numpy as np
 import pytest
@@ -73,6 +74,45 @@ def test_sharding(spark, docs, rows):
     assert sharding.kd_shards(same, 3)[1].count() == 6
 
 
+def test_sharding_is_the_plain_tree(spark, monkeypatch):
+    """Shard by shard the same as a K-d tree over a list; equal texts stay together, a large group and a very long text are dealt."""
+    monkeypatch.setattr(sharding, "TOLERANCE", 0)
+    rng = random.Random(3)
+    rows = [(i, f"text {i} " + "x" * rng.randrange(300)) for i in range(400)] + [(400 + i, f"copied {i % 20} " + "y" * 9) for i in range(60)]
+    rows += [(500 + i, "hot " * 8) for i in range(200)] + [(None, "n"), (None, None), (701, ""), (702, "z" * 15_000), (703, "twice"), (703, "twice")]
+    docs = documents(spark, rows)
+    tree, manifest = sharding.kd_shards(docs, 6)
+    found = manifest.collect()
+    shards = defaultdict(set)
+    for r in found:
+        shards[r.text_crc32, r.size].add(r.shard)
+    copied = {(zlib.crc32(t.encode()), len(t.encode()) + 16) for _, t in rows[400:460]}
+    assert all(len(shards[c]) == 1 for c in copied) and len(shards[zlib.crc32(b""), 16]) == 1 and len(shards[zlib.crc32(b"hot " * 8), 48]) > 1
+
+    table = sharding._keyed(sharding._gathered(sharding._light(docs, tree.dimensions, "doc_id", "text"), tree.copies, 4), tree.scales).collect()
+    names = [f"_k{i}" for i in range(4)]
+
+    def grown(points, shards, node=1):
+        if shards == 1:
+            return {id(p): node for p in points}
+        dim = max(range(4), key=lambda i: (max(p[names[i]] for p in points) - min(p[names[i]] for p in points), -i))
+        ordered = sorted(points, key=lambda p: p[names[dim]])
+        goal, left, cut = sum(p["size"] for p in points) * (shards // 2) / shards, 0, 0
+        edges = [i for i in range(len(ordered) + 1) if i in (0, len(ordered)) or ordered[i - 1][names[dim]] != ordered[i][names[dim]]]
+        sums = {0: 0}
+        for i, p in enumerate(ordered, 1):
+            left += p["size"]
+            sums[i] = left
+        cut = min(edges, key=lambda i: (abs(sums[i] - goal), -i))
+        return grown(ordered[:cut], shards // 2, 2 * node) | grown(ordered[cut:], shards - shards // 2, 2 * node + 1)
+
+    plain = grown(table, 6)
+    depth = max(n.bit_length() for n in plain.values())
+    order = {n: i for i, n in enumerate(sorted(set(plain.values()), key=lambda n: n << (depth - n.bit_length())))}
+    mine = {(r["id"], r["size"], r["text_crc32"]): order[plain[id(r)]] for r in table}
+    assert {(r.doc_id, r["size"], r.text_crc32): r.shard for r in found} == mine
+
+
 def test_sharding_target_bytes(docs):
     tree, _ = sharding.kd_shards(docs, target_bytes=20_000)
     assert tree.shards > 3
