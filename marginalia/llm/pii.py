@@ -1,10 +1,13 @@
 """Operator 2: personal data by fixed patterns and a semi-Markov conditional random field.
 
-The patterns find the base spans, which always stay. The field looks at text around digits and address signs that the patterns leave
-unexplained, and may add spans there. A candidate segment is scored by features of the whole span (digit count, check sum, separators,
-context words), and dynamic programming over segments of bounded length chooses boundaries and types jointly. Outside such
-windows every token is outside any entity at score zero, so decoding windows is decoding the whole text. The field is trained here, on
-windows that a fixed generator writes and labels.
+The patterns find the base spans, which always stay. The field may add spans beside them. A candidate segment is a bounded run of tokens
+with an address sign or at least seven digits that touches no base span. It is scored by features of the whole span (digit count, check sum,
+separators, context words) and by the entity before it, if only separators lie between; base spans count as such entities.
+Dynamic programming over all segmentations chooses boundaries and types jointly, every other token being outside at score zero.
+
+Candidates lie only near address signs and where seven digits stand close together. Texts are decoded there; what lies between such regions
+holds no candidate and resets the history, so this is the decoding of the whole text. The field is trained here, on windows that a fixed generator writes
+and labels.
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -81,21 +85,20 @@ def joined(spans: list[Span]) -> str:
 
 # The field.
 
-#: Longest segment in characters and in tokens, and context beside a trigger.
-MAX_CHARS, MAX_TOKENS, CONTEXT = 64, 24, 24
-_TRIGGER = re.compile(
-    r"\+?\(?[0-9](?:[ ().\-/]{0,2}[0-9]){6,30}"
-    r"|[A-Za-z0-9._%+-]{1,40} ?(?:@|[\[(]at[\])]) ?[A-Za-z0-9-]{1,40}(?: ?(?:\.|[\[(]dot[\])]) ?[A-Za-z0-9-]{1,30}){0,4}",
-)
+#: Longest segment in characters and in tokens, digits that a segment without an address sign needs and may have, and context before it.
+MAX_CHARS, MAX_TOKENS, LEAST_DIGITS, MOST_DIGITS, CONTEXT = 64, 24, 7, 19, 24
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|\s+|.", re.S)
+_SIGN = re.compile(r"@|[\[(]at[\])]", re.I)
 _AT = re.compile(r"@|[\[(]at[\])]")
 _DOT = re.compile(r"\.|[\[(]dot[\])]")
 _WORDS = {"phone": ("tel", "phone", "call", "fax", "mobile"), "card": ("card", "visa", "credit", "iban"), "ip": ("ip", "host", "server"), "email": ("mail", "contact")}
 _DATE = re.compile(r"(?:19|20)[0-9]{2}[-/.][0-9]{1,2}[-/.][0-9]{1,2}|[0-9]{1,2}[-/.][0-9]{1,2}[-/.](?:19|20)[0-9]{2}")
 
+_PHONE_SHAPE = re.compile(r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{3}[ .-][0-9]{3,4}|\+[0-9]{1,3}(?:[ .-][0-9]{2,4}){3,5}")
+
 FEATURES = (
     "bias", "at", "one_at", "domain", "letters", "no_letters", "digits<7", "digits7-9", "digits10-11", "digits12-13", "digits14-19", "digits>19", "luhn",
-    "quad", "octets", "plus", "paren", "slash", "dots", "even_separators", "groups_of_four", "date", "cut_left", "cut_right", "edge_sign", "long", "context_own", "context_other",
+    "quad", "octets", "plus", "paren", "slash", "dots", "even_separators", "groups_of_four", "date", "cut_left", "cut_right", "edge_sign", "long", "late_paren", "split_paren", "end_paren", "ten_local", "phone_shape", "context_own", "context_other",
 )
 
 
@@ -117,82 +120,154 @@ def span_features(text: str, start: int, end: int) -> np.ndarray:
         "slash": "/" in span, "dots": "." in span, "even_separators": bool(marks) and len(set(marks)) == 1, "groups_of_four": bool(re.fullmatch(r"[0-9]{4}(?:[ ./-][0-9]{4}){3}", span)),
         "date": bool(_DATE.search(span)), "cut_left": bool(before[-1:].isalnum() or before[-1:] in ("+", "_")), "cut_right": after.isalnum(),
         "edge_sign": not (span[0].isalnum() or span[0] in "+(") or not (span[-1].isalnum() or span[-1] in ")]"), "long": end - start > 24,
+        "late_paren": span.find("(") > 4, "split_paren": span.count("(") != span.count(")"), "end_paren": span.endswith(")"), "ten_local": n == 10 and bool(marks) and not letters,
+        "phone_shape": bool(_PHONE_SHAPE.fullmatch(span)),
     }
     row, low = [float(shape[f]) for f in FEATURES[:-2]], before.lower()
     named = {k: any(w in low for w in words) for k, words in _WORDS.items()}
     return np.array([[*row, float(named[k]), float(any(named[o] for o in KINDS if o != k))] for k in KINDS])
 
 
-def lattice(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Tokens of a window and its candidate segments as (first, end) token positions: bounded, not starting or ending with white space,
-    with at most one address sign, and without one at most as many digits as the longest card number."""
-    tokens = [m.span() for m in _TOKEN.finditer(text)]
-    segments = []
-    for i, (a, b) in enumerate(tokens):
-        if text[a].isspace():
-            continue
-        digits, at = 0, 0
-        for j in range(i, min(i + MAX_TOKENS, len(tokens))):
-            c, d = tokens[j]
-            if d - a > MAX_CHARS:
-                break
-            piece = text[c:d]
-            digits += (d - c) * piece.isdigit()
-            at += piece == "@" or (piece.lower() == "at" and text[c - 1 : c] in ("[", "("))
-            if at > 1 or (digits > 19 and not at):
-                break
-            if not piece.isspace() and (at or digits >= 7):
-                segments.append((i, j + 1))
-    return tokens, segments
-
-
-def scored(text: str) -> tuple[int, list[tuple[int, int]], np.ndarray]:
-    """(tokens, segments, features of each segment and kind)."""
-    tokens, segments = lattice(text)
-    x = np.array([span_features(text, tokens[i][0], tokens[j - 1][1]) for i, j in segments]).reshape(len(segments), len(KINDS), len(FEATURES))
-    return len(tokens), segments, x
-
-
-def _expected(n: int, segments: list[tuple[int, int]], scores: np.ndarray) -> tuple[float, np.ndarray]:
-    """Log normaliser and each (segment, kind)'s marginal, by forward-backward over segmentations; single tokens outside score zero."""
-    forward, backward = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
-    forward[0] = backward[n] = 0.0
-    best = np.logaddexp.reduce(scores, axis=1) if len(segments) else np.zeros(0)
-    ending: list[list[int]] = [[] for _ in range(n + 1)]
-    starting: list[list[int]] = [[] for _ in range(n + 1)]
-    for s, (i, j) in enumerate(segments):
-        ending[j].append(s)
-        starting[i].append(s)
-    for at in range(1, n + 1):
-        forward[at] = np.logaddexp.reduce([forward[at - 1], *(forward[segments[s][0]] + best[s] for s in ending[at])])
-    for at in range(n - 1, -1, -1):
-        backward[at] = np.logaddexp.reduce([backward[at + 1], *(backward[segments[s][1]] + best[s] for s in starting[at])])
-    if not segments:
-        return forward[n], scores
-    outer = np.array([forward[i] + backward[j] for i, j in segments])
-    return forward[n], np.exp(outer[:, None] + scores - forward[n])
-
-
-def decoded(n: int, segments: list[tuple[int, int]], scores: np.ndarray) -> list[tuple[int, int, int]]:
-    """The best segmentation's entities as (first, end, kind)."""
-    value, back = np.full(n + 1, -np.inf), [(-1, -1)] * (n + 1)
-    value[0] = 0.0
-    kinds = scores.argmax(axis=1) if len(segments) else []
-    ending: list[list[int]] = [[] for _ in range(n + 1)]
-    for s, (_, j) in enumerate(segments):
-        ending[j].append(s)
+class Lattice:
+    """A region's tokens, its candidate segments and its fixed segments as (first, end[, kind]) token positions."""
+
+    def __init__(self, text: str, base: list[Span] = ()):
+        self.text, self.tokens = text, [m.span() for m in _TOKEN.finditer(text)]
+        starts, covered = [a for a, _ in self.tokens], [False] * len(self.tokens)
+        self.fixed: list[tuple[int, int, int]] = []
+        for kind, a, b in base:  # base spans overlap only across kinds; one run of them is one fixed segment
+            i, j = bisect_right(starts, a) - 1, bisect_left(starts, b)
+            if self.fixed and i < self.fixed[-1][1]:
+                i, j, kind = self.fixed[-1][0], max(j, self.fixed[-1][1]), KINDS[self.fixed.pop()[2]]
+            self.fixed.append((i, j, KINDS.index(kind)))
+            covered[i:j] = [True] * (j - i)
+        #: Whether a token outside an entity keeps the history: separators do, words and numbers don't.
+        self.keeps = [not any(c.isalnum() for c in text[a : min(b, a + 1)]) for a, b in self.tokens]
+        self.segments: list[tuple[int, int]] = []
+        for i, (a, b) in enumerate(self.tokens):
+            if text[a].isspace() or covered[i]:
+                continue
+            digits, at = 0, 0
+            for j in range(i, min(i + MAX_TOKENS, len(self.tokens))):
+                c, d = self.tokens[j]
+                if d - a > MAX_CHARS or covered[j]:
+                    break
+                piece = text[c:d]
+                digits += (d - c) * piece.isdigit()
+                at += piece == "@" or (piece.lower() == "at" and text[c - 1 : c] in ("[", "("))
+                if at > 1 or (digits > MOST_DIGITS and not at):
+                    break
+                if not piece.isspace() and (at or digits >= LEAST_DIGITS):
+                    self.segments.append((i, j + 1))
+
+    def features(self) -> np.ndarray:
+        """Features of each segment and kind."""
+        x = [span_features(self.text, self.tokens[i][0], self.tokens[j - 1][1]) for i, j in self.segments]
+        return np.array(x).reshape(len(self.segments), len(KINDS), len(FEATURES))
+
+    @functools.cached_property
+    def steps(self) -> list[list[tuple[int, int, int | None]]]:
+        """For each position the moves that end there: (from, segment or -1 for a token outside or -2 for a fixed segment, fixed kind)."""
+        ends: list[list[tuple[int, int, int | None]]] = [[] for _ in range(len(self.tokens) + 1)]
+        inside = {t for i, j, _ in self.fixed for t in range(i, j)}
+        for t in range(len(self.tokens)):
+            if t not in inside:
+                ends[t + 1].append((t, -1, None))
+        for i, j, kind in self.fixed:
+            ends[j].append((i, -2, kind))
+        for s, (i, j) in enumerate(self.segments):
+            ends[j].append((i, s, None))
+        return ends
+
+
+#: Histories: no entity, or the kind of the one before with only separators between.
+_NONE = len(KINDS)
+
+
+def _sum(values: np.ndarray) -> np.ndarray:
+    """log of the sum of exponentials over the first axis, -inf where all are."""
+    top = values.max(axis=0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(np.isneginf(top), top, top + np.log(np.exp(values - np.where(np.isneginf(top), 0.0, top)).sum(axis=0)))
+
+
+class Batch:
+    """Several lattices side by side: the moves that end at each position, in all of them at once."""
+
+    def __init__(self, lattices: list[Lattice]):
+        sizes = [len(x.tokens) + 1 for x in lattices]
+        self.first = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
+        self.last, self.nodes, segment = self.first + np.array(sizes) - 1, sum(sizes), 0
+        #: For each position: moves outside that keep the history, that reset it, fixed segments, candidates; rows (from, to, segment or kind, lattice).
+        self.moves: list[list[np.ndarray]] = []
+        rows: list[list[list[tuple[int, int, int, int]]]] = [[[], [], [], []] for _ in range(max(sizes, default=1) - 1)]
+        for w, lattice in enumerate(lattices):
+            base = int(self.first[w])
+            for at in range(1, len(lattice.tokens) + 1):
+                for i, s, kind in lattice.steps[at]:
+                    which = 3 if s >= 0 else 2 if s == -2 else 0 if lattice.keeps[i] else 1
+                    rows[at - 1][which].append((base + i, base + at, segment + s if s >= 0 else kind or 0, w))
+            segment += len(lattice.segments)
+        self.moves = [[np.array(part, dtype=np.int64).reshape(-1, 4).T for part in parts] for parts in rows]
+
+
+def expected(batch: Batch, scores: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each lattice's log normaliser, each (segment, kind)'s marginal and the expected count of each (history, kind), by forward-backward."""
+    forward, backward = np.full((batch.nodes, _NONE + 1), -np.inf), np.full((batch.nodes, _NONE + 1), -np.inf)
+    forward[batch.first, _NONE] = 0.0
+    backward[batch.last] = 0.0
+    kinds = np.arange(_NONE)
+    for keep, reset, fixed, own in batch.moves:
+        forward[keep[1]] = np.logaddexp(forward[keep[1]], forward[keep[0]])
+        forward[reset[1], _NONE] = np.logaddexp(forward[reset[1], _NONE], _sum(forward[reset[0]].T))
+        forward[fixed[1], fixed[2]] = np.logaddexp(forward[fixed[1], fixed[2]], _sum(forward[fixed[0]].T))
+        ahead = scores[own[2]] + _sum((forward[own[0]][:, :, None] + turn).swapaxes(0, 1))
+        np.logaddexp.at(forward, (own[1][:, None], kinds), ahead)
+    totals = _sum(forward[batch.last].T)
+    marginal, moves = np.zeros_like(scores), np.zeros_like(turn)
+    for keep, reset, fixed, own in reversed(batch.moves):
+        ahead = turn[None] + (scores[own[2]] + backward[own[1], :_NONE])[:, None, :]
+        p = np.exp(forward[own[0]][:, :, None] + ahead - totals[own[3]][:, None, None])
+        marginal[own[2]] = p.sum(axis=1)
+        moves += p.sum(axis=0)
+        np.logaddexp.at(backward, own[0], _sum(ahead.transpose(2, 0, 1)))
+        backward[keep[0]] = np.logaddexp(backward[keep[0]], backward[keep[1]])
+        for part, to in ((reset, np.full(reset.shape[1], _NONE)), (fixed, fixed[2])):
+            backward[part[0]] = np.logaddexp(backward[part[0]], backward[part[1], to][:, None])
+    return totals, marginal, moves
+
+
+def decoded(lattice: Lattice, scores: np.ndarray, turn: np.ndarray) -> list[tuple[int, int, int]]:
+    """The best segmentation's added entities as (first, end, kind); equal sums keep the one with fewer."""
+    n, ends = len(lattice.tokens), lattice.steps
+    none, width = float("-inf"), _NONE + 1
+    value, back = [[none] * width for _ in range(n + 1)], [[None] * width for _ in range(n + 1)]
+    value[0][_NONE] = 0.0
+    own, turns = scores.tolist(), turn.tolist()
     for at in range(1, n + 1):
-        value[at], back[at] = value[at - 1], (at - 1, -1)
-        for s in ending[at]:
-            total = value[segments[s][0]] + scores[s, kinds[s]]
-            if total > value[at]:
-                value[at], back[at] = total, (segments[s][0], s)
-    found, at = [], n
+        here, from_ = value[at], back[at]
+        for i, s, kind in ends[at]:
+            before = value[i]
+            if s >= 0:
+                for k in range(_NONE):
+                    best = max(range(width), key=lambda h: before[h] + turns[h][k])
+                    total = before[best] + turns[best][k] + own[s][k]
+                    if total > here[k]:
+                        here[k], from_[k] = total, (i, best, s)
+            elif s == -1 and lattice.keeps[i]:
+                for h in range(width):
+                    if before[h] > here[h]:
+                        here[h], from_[h] = before[h], (i, h, s)
+            else:
+                to, best = (_NONE if kind is None else kind), max(range(width), key=before.__getitem__)
+                if before[best] > here[to]:
+                    here[to], from_[to] = before[best], (i, best, s)
+    found, at, h = [], n, max(range(width - 1, -1, -1), key=value[n].__getitem__)
     while at > 0:
-        before, s = back[at]
+        i, before, s = back[at][h]
         if s >= 0:
-            found.append((before, at, int(kinds[s])))
-        at = before
+            found.append((i, at, h))
+        at, h = i, before
     return found[::-1]
 
 
@@ -235,82 +310,116 @@ def training_windows(count: int = 360, seed: int = 7) -> list[tuple[str, list[Sp
     made = []
     for _ in range(count):
         text, spans = " ".join(word() for _ in range(int(rng.integers(1, 4)))) + " ", []
-        for _ in range(int(rng.integers(1, 3))):
+        for _ in range(int(rng.integers(1, 4))):
             kind, body, hint = entity()
             if hint and rng.random() < 0.3:
                 text += hint + ": "
             if kind:
                 spans.append((kind, len(text), len(text) + len(body)))
-            text += body + pick([" ", ". ", ", "]) + word() + " "
-        made.append((text, spans))
+            text += body + (pick([" ", ". ", ", "]) + word() + " " if rng.random() < 0.7 else pick([" ", ", ", "; "]))
+        made.append((text + word(), spans))
     return made
 
 
 @functools.lru_cache(maxsize=2)
-def trained(count: int = 360, epochs: int = 40) -> np.ndarray:
-    """Weights (kinds x features) by Adam on the conditional log-likelihood of the generated windows."""
-    examples = []
+def trained(count: int = 600, epochs: int = 60) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (kinds x features) and history weights (history x kind), by Adam on the conditional log-likelihood of the generated windows."""
+    lattices, features, real, moves = [], [], [], np.zeros((_NONE + 1, len(KINDS)))
     for text, spans in training_windows(count):
-        n, segments, x = scored(text)
-        tokens, _ = lattice(text)
-        real = np.zeros((len(segments), len(KINDS)))
-        at = {(tokens[i][0], tokens[j - 1][1]): s for s, (i, j) in enumerate(segments)}
+        lattice = Lattice(text)
+        at = {(lattice.tokens[i][0], lattice.tokens[j - 1][1]): s for s, (i, j) in enumerate(lattice.segments)}
+        own, end, history = np.zeros((len(lattice.segments), len(KINDS))), 0, _NONE
         for kind, a, b in spans:
             if (a, b) in at:
-                real[at[a, b], KINDS.index(kind)] = 1.0
-        examples.append((n, segments, x, real))
-    w, first, second = (np.zeros((len(KINDS), len(FEATURES))) for _ in range(3))
+                if _ALNUM.search(text, end, a):
+                    history = _NONE
+                own[at[a, b], KINDS.index(kind)] = 1.0
+                moves[history, KINDS.index(kind)] += 1.0
+                end, history = b, KINDS.index(kind)
+        lattices.append(lattice)
+        features.append(lattice.features())
+        real.append(own)
+    batch, x, y = Batch(lattices), np.concatenate(features), np.concatenate(real)
+    w, turn = np.zeros((len(KINDS), len(FEATURES))), np.zeros_like(moves)
+    first, second = (np.zeros(w.size + turn.size) for _ in range(2))
     for epoch in range(1, epochs + 1):
-        slope = -0.02 * w
-        for n, segments, x, real in examples:
-            if segments:
-                _, p = _expected(n, segments, np.einsum("skf,kf->sk", x, w))
-                slope += np.einsum("sk,skf->kf", real - p, x)
+        _, p, seen = expected(batch, np.einsum("skf,kf->sk", x, w), turn)
+        turns = moves - seen - 0.2 * turn
+        turns[_NONE] = 0.0  # no entity before: weight zero
+        slope = np.concatenate([(np.einsum("sk,skf->kf", y - p, x) - 0.02 * w).ravel(), turns.ravel()])
         first, second = 0.9 * first + 0.1 * slope, 0.99 * second + 0.01 * slope**2
-        w = w + 0.3 * (first / (1 - 0.9**epoch)) / (np.sqrt(second / (1 - 0.99**epoch)) + 1e-8)
-    return w
+        step = 0.3 * (first / (1 - 0.9**epoch)) / (np.sqrt(second / (1 - 0.99**epoch)) + 1e-8)
+        w, turn = w + step[: w.size].reshape(w.shape), turn + step[w.size :].reshape(turn.shape)
+    return w, turn
 
 
 #: A decoded segment is taken if it outscores the same text left outside by this much.
 MARGIN = 2.0
 
 
-def added_spans(text: str, base: list[Span], weights: np.ndarray) -> list[Span]:
-    """Entities that the field finds in what the base spans leave unexplained."""
-    windows: list[list[int]] = []
-    for m in _TRIGGER.finditer(text):
-        if any(a < m.end() and m.start() < b for _, a, b in base) and not _loose(m.start(), m.end(), base):
-            continue
-        a, b = max(0, m.start() - CONTEXT), min(len(text), m.end() + CONTEXT)
-        if windows and a <= windows[-1][1]:
-            windows[-1][1] = b
+def regions(text: str) -> list[tuple[int, int]]:
+    """Parts of the text, token by token whole, outside of which no candidate lies and between which a word or number resets the history."""
+    near = [(m.start() - MAX_CHARS, m.end() + MAX_CHARS) for m in _SIGN.finditer(text)]
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    at = np.flatnonzero((codes >= 48) & (codes <= 57))
+    if len(at) >= LEAST_DIGITS:
+        first, last = at[: len(at) - LEAST_DIGITS + 1], at[LEAST_DIGITS - 1 :]
+        close = last - first < MAX_CHARS
+        near += zip((last[close] + 1 - MAX_CHARS).tolist(), (first[close] + MAX_CHARS).tolist(), strict=True)
+    found: list[list[int]] = []
+    for a, b in sorted(near):
+        a, b = max(0, a), min(len(text), b)
+        if found and (a <= found[-1][1] or not _ALNUM.search(text, found[-1][1], a)):
+            found[-1][1] = max(found[-1][1], b)
         else:
-            windows.append([a, b])
-    found = []
-    for a, b in windows:
-        window = text[a:b]
-        n, segments, x = scored(window)
-        if not segments:
-            continue
-        scores = np.einsum("skf,kf->sk", x, weights) - MARGIN
-        tokens, _ = lattice(window)
-        for i, j, kind in decoded(n, segments, scores):
-            span = (KINDS[kind], a + tokens[i][0], a + tokens[j - 1][1])
-            if not any(c < span[2] and span[1] < d for _, c, d in base):
-                found.append(span)
-    return found
+            found.append([a, b])
+    whole: list[tuple[int, int]] = []
+    for a, b in found:
+        # A token that reaches further than the longest segment is in none, so it may be cut beyond that.
+        while a > 0 and _joined(text[a - 1], text[a]) and not _joined_run(text, a):
+            a -= 1
+        while b < len(text) and _joined(text[b - 1], text[b]) and not _joined_run(text, b):
+            b += 1
+        if whole and a <= whole[-1][1]:
+            whole[-1] = (whole[-1][0], max(b, whole[-1][1]))
+        else:
+            whole.append((a, b))
+    return whole
+
+
+_ALNUM = re.compile(r"[^\W_]")
+_RUN = re.compile(r"[A-Za-z]{65}|[0-9]{65}|\s{65}")
+
+
+def _joined(left: str, right: str) -> bool:
+    """Whether two neighbouring characters are of one token."""
+    return _TOKEN.match(left + right).end() == 2
 
 
-def _loose(start: int, end: int, base: list[Span]) -> bool:
-    """Whether a trigger has room for another entity beside the base spans in it."""
-    covered = sum(max(0, min(end, b) - max(start, a)) for _, a, b in base)
-    return end - start - covered >= 7
+def _joined_run(text: str, at: int) -> bool:
+    """Whether more characters than a segment may have are of one token on either side of a place."""
+    return bool(_RUN.match(text, at) or (at > MAX_CHARS and _RUN.match(text, at - MAX_CHARS - 1)))
 
 
-def _found(text: str | None, weights: np.ndarray) -> tuple[list[Span], list[Span]]:
+Field = tuple[np.ndarray, np.ndarray]
+
+
+def added_spans(text: str, base: list[Span], field: Field) -> list[Span]:
+    """Entities that the field finds beside the base spans."""
+    found, (weights, turn) = [], field
+    for a, b in regions(text):
+        own = [(k, max(c, a) - a, min(d, b) - a) for k, c, d in base if c < b and d > a]
+        lattice = Lattice(text[a:b], own)
+        if lattice.segments:
+            scores = np.einsum("skf,kf->sk", lattice.features(), weights) - MARGIN
+            found += [(KINDS[k], a + lattice.tokens[i][0], a + lattice.tokens[j - 1][1]) for i, j, k in decoded(lattice, scores, turn)]
+    return found
+
+
+def _found(text: str | None, field: Field) -> tuple[list[Span], list[Span]]:
     text = text or ""
     base = base_spans(text)
-    extra = added_spans(text, base, weights) if "@" in text or _AT.search(text) or _DIGIT.search(text) else []
+    extra = added_spans(text, base, field) if _DIGIT.search(text) or _SIGN.search(text) else []
     return base, ordered([*base, *extra])
 
 
@@ -334,11 +443,11 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = sent.value
+        field = sent.value
         for batch in batches:
             counts, digests, spans = {k: [] for k in KINDS}, [], []
             for text in batch.column(1).to_pylist():
-                base, every = _found(text, weights)
+                base, every = _found(text, field)
                 for k in KINDS:
                     counts[k].append(sum(s[0] == k for s in base))
                 digests.append(hashlib.sha256(joined(base).encode()).hexdigest())
@@ -366,16 +475,19 @@ def redacted_text(text: str | None, spans: list[Span]) -> str | None:
 
 
 def redacted(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
-    """``docs`` with personal data in the text replaced, all columns kept; ``length_col``, if present, is counted anew."""
+    """``docs`` with personal data in the text replaced, all columns and rows kept; ``length_col``, if present, is counted anew.
+
+    Null texts stay null and keep their length, empty ones stay empty. Repeated rows get equal texts, an empty table gives an empty one.
+    """
     spark = docs.sparkSession
     shared.ship(spark)
     sent = spark.sparkContext.broadcast(trained())
     place = docs.columns.index(text_col)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = sent.value
+        field = sent.value
         for batch in batches:
-            texts = [redacted_text(t, _found(t, weights)[1]) for t in batch.column(place).to_pylist()]
+            texts = [redacted_text(t, _found(t, field)[1]) for t in batch.column(place).to_pylist()]
             columns = list(batch.columns)
             columns[place] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)

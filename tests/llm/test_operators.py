@@ -2,7 +2,7 @@
 
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -142,7 +142,7 @@ def test_pii(spark):
     found = {r.doc_id: r for r in pii.personal_data(documents(spark, rows)).collect()}
     assert (found[0].n_email, found[0].spans, found[0].base_sha256) == (0, "", brute.sha(""))
     assert found[2].spans == "email:5:14,phone:18:35" and found[2].base_sha256 == brute.sha(found[2].spans)
-    assert found[3].spans == "ip:4:18,card:19:35" and found[3].n_card == 0
+    assert found[3].spans == "ip:4:18" and found[3].n_card == 0  # the number fails its check sum
     assert found[4].spans == "" and found[5].spans == ""
     clean = {r.doc_id: r for r in pii.redacted(documents(spark, rows)).collect()}
     assert clean[2].text == "mail [EMAIL] or [PHONE]" and clean[2].n_chars == len(clean[2].text) and clean[0].text is None
@@ -150,14 +150,85 @@ def test_pii(spark):
     assert pii.personal_data(empty(spark)).count() == 0
 
 
-def test_pii_field_learns():
-    weights, right, wrong, missed = pii.trained(), 0, 0, 0
-    for text, spans in pii.training_windows(150, 99):
-        n, segments, x = pii.scored(text)
-        tokens, _ = pii.lattice(text)
-        found = {(pii.KINDS[k], tokens[i][0], tokens[j - 1][1]) for i, j, k in (pii.decoded(n, segments, np.einsum("skf,kf->sk", x, weights)) if segments else [])}
-        right, wrong, missed = right + len(found & set(spans)), wrong + len(found - set(spans)), missed + len(set(spans) - found)
-    assert right / (right + missed) > 0.8 and right / (right + wrong) > 0.8
+def test_pii_field_is_exact():
+    """Normaliser, marginals and the best segmentation against all segmentations of short texts."""
+    rng = np.random.default_rng(5)
+    for text, base in (("a 1234567 (12) 555", []), ("x@y.z 1234567,7", []), ("55 1234567 b@c 7", [("phone", 3, 10)]), ("1234567 1234567", [("ip", 0, 7), ("card", 3, 7)])):
+        lattice = pii.Lattice(text, base)
+        scores, turn = rng.standard_normal((len(lattice.segments), 4)), rng.standard_normal((5, 4))
+        paths = []
+
+        def walk(at, history, total, taken, moves):
+            if at == len(lattice.tokens):
+                paths.append((total, taken, moves))
+                return
+            for i, j, kind in lattice.fixed:
+                if i == at:
+                    walk(j, kind, total, taken, moves)
+                    return
+            walk(at + 1, history if lattice.keeps[at] else 4, total, taken, moves)
+            for s, (i, j) in enumerate(lattice.segments):
+                if i == at:
+                    for k in range(4):
+                        walk(j, k, total + scores[s, k] + turn[history, k], (*taken, (s, k)), (*moves, (history, k)))
+
+        walk(0, 4, 0.0, (), ())
+        z = np.logaddexp.reduce([p[0] for p in paths])
+        other = pii.Lattice("7 x")
+        (total, _), marginal, moves = pii.expected(pii.Batch([lattice, other]), scores, turn)
+        assert np.isclose(total, z)
+        seen, turned = np.zeros_like(scores), np.zeros_like(turn)
+        for value, taken, steps in paths:
+            for s, k in taken:
+                seen[s, k] += np.exp(value - z)
+            for h, k in steps:
+                turned[h, k] += np.exp(value - z)
+        assert np.allclose(marginal, seen) and np.allclose(moves, turned)
+        best = max(paths, key=lambda p: p[0])
+        assert pii.decoded(lattice, scores, turn) == [(*lattice.segments[s], k) for s, k in best[1]]
+
+
+def test_pii_regions_are_the_whole_text():
+    """Decoding the regions is decoding the text; candidates exist nowhere else."""
+    rng, field = random.Random(4), pii.trained()
+    parts = ["4111 1111 1111 1111", "+1 612 555 5827", "(612) 555-5828", "a.b@c.org", "x (at) y (dot) com", "10.0.0.1", "word", "é", "-" * 70, " " * 80, "q" * 90, "7" * 80, "12", ", ", ". ", "\n"]
+    for _ in range(150):
+        text = "".join(rng.choice(parts) + rng.choice(["", " "]) for _ in range(rng.randint(1, 14)))
+        base = pii.base_spans(text)
+        lattice = pii.Lattice(text, base)
+        scores = np.einsum("skf,kf->sk", lattice.features(), field[0]) - pii.MARGIN
+        whole = [(pii.KINDS[k], lattice.tokens[i][0], lattice.tokens[j - 1][1]) for i, j, k in pii.decoded(lattice, scores, field[1])]
+        assert pii.added_spans(text, base, field) == whole
+
+
+def test_pii_recall():
+    """Held-out windows of another writer: recall of each kind, and numbers that are no personal data."""
+    rng, field = random.Random(12), pii.trained()
+    n = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+
+    def card(mark):
+        body = "4" + n(14)
+        number = next(body + c for c in "0123456789" if pii.luhn(body + c))
+        return mark.join(number[i : i + 4] for i in range(0, 16, 4))
+
+    made = {
+        "email": lambda: rng.choice([f"Jo.{n(2)}@firm-{n(1)}.example.org", "ann [at] host [dot] net", "kim (at) mail (dot) com"]),
+        "ip": lambda: ".".join(str(rng.randrange(256)) for _ in range(4)),
+        "card": lambda: card(rng.choice(["", " ", "-", ".", "/"])),
+        "phone": lambda: rng.choice([f"+1 ({n(3)}) {n(3)}-{n(4)}", f"+44 {n(3)} {n(3)} {n(4)}", f"({n(3)}) {n(3)}-{n(4)}"]),
+    }
+    others = ["released 2021-03-04 in 12 parts", "isbn 978 3 16 148410", "in 1999, 2003 and 2007", f"sum 1,204,{n(3)}.50", "token = \"ede43f42c939b6405768150e0411590525cf889e\"", "at 10:20:30 on 04/05/2011"]
+    right, total, wrong = Counter(), Counter(), 0
+    for _ in range(400):
+        kind = rng.choice(list(made))
+        body = made[kind]()
+        before = rng.choice(["Please write to ", "seen near ", f"{made['phone']()} ", "the number is: ", "(", ""])
+        text = before + body + rng.choice([" and more", ", then", ".", "\n"])
+        total[kind] += 1
+        right[kind] += (kind, len(before), len(before) + len(body)) in pii._found(text, field)[1]
+        wrong += len(pii._found(f"It was {rng.choice(others)} there", field)[1])
+    recall = {k: right[k] / total[k] for k in total}
+    assert min(recall.values()) >= 0.9 and wrong <= 8, (recall, wrong)
 
 
 def test_token_counts(spark, docs, rows):
