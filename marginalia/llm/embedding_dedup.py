@@ -174,7 +174,7 @@ def near_embeddings(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
     picked = vectors.select(vectors[id_col].cast("long").alias("id"), vectors[label_col].cast("string").alias("label"), vectors[vector_col].alias("v"))
     kind = "f4" if isinstance(vectors.schema[vector_col].dataType.elementType, T.FloatType) else "f8"
     rows = shared.stored(
-        shared.numbered(picked.mapInArrow(_read(kind), "id long, label string, vector binary, high long, low long, dim int")), "vectors"
+        shared.numbered(picked.mapInArrow(shared.lean(_read(kind)), "id long, label string, vector binary, high long, low long, dim int")), "vectors"
     )
     good = rows.where("vector is not null and id is not null")
     nodes = shared.stored(
@@ -192,7 +192,7 @@ def near_embeddings(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
         sample /= np.linalg.norm(sample, axis=1, keepdims=True)
         turns[dim] = np.concatenate([rotation(sample, seed) for seed in range(-(-bits * tables // dim))], axis=1)
     schema = "node long, label string, dim int, copies long, vector binary, subs array<int>"
-    coded = shared.stored(nodes.select("node", "label", "dim", "copies", "vector").mapInArrow(_coded(turns, bits, tables, kind), schema), "codes")
+    coded = shared.stored(nodes.select("node", "label", "dim", "copies", "vector").mapInArrow(shared.lean(_coded(turns, bits, tables, kind)), schema), "codes")
 
     entries = coded.select("*", F.posexplode("subs").alias("t", "sub"))
     buckets = coded.select("label", "dim", F.posexplode("subs").alias("t", "sub")).groupBy("label", "dim", "t", "sub").agg(F.count(F.lit(1)).alias("size")).where("size > 1")

@@ -9,7 +9,7 @@ import xxhash
 P1 = np.uint64(0x9E3779B97F4A7C15)
 P2 = np.uint64(0xC2B2AE3D27D4EB4F)
 
-_CACHE_LIMIT = 400_000
+_CACHE_LIMIT = 60_000
 
 
 class WordHashes(dict):

@@ -186,7 +186,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, words_in: int = 5, id_co
     shared.ship(spark)
     picked = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"), F.xxhash64(F.coalesce(docs[text_col], F.lit(""))).alias("h"))
     schema = "id long, h long, n_shingles long, high long, low long, bands array<long>"
-    rows = shared.stored(shared.numbered(picked.mapInArrow(_signatures(words_in), schema)), "signatures")
+    rows = shared.stored(shared.numbered(picked.mapInArrow(shared.lean(_signatures(words_in)), schema)), "signatures")
 
     linked = rows.where("n_shingles > 0 and id is not null")
     nodes = shared.stored(
@@ -216,7 +216,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, words_in: int = 5, id_co
         texts.groupBy("id", "h").agg(F.first("text").alias("text"))
         .join(wanted, ["id", "h"])
         .select("node", "high", "low", "text")
-        .mapInArrow(_sets(words_in), "node long, shingles array<long>"),
+        .mapInArrow(shared.lean(_sets(words_in)), "node long, shingles array<long>"),
         "sets",
     )
     links = shared.stored(_confirmed(stars, sets, percent), "confirmed")

@@ -81,7 +81,7 @@ def token_pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int =
                     columns.append(pa.array(out["ids"], pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
 
-    return picked.mapInArrow(encode, T.StructType(fields))
+    return picked.mapInArrow(shared.lean(encode), T.StructType(fields))
 
 
 class Plan:
@@ -218,4 +218,4 @@ def packed(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
                 names=[*names, "sequence_id", "offset"],
             )
 
-    return light.mapInArrow(place, schema)
+    return light.mapInArrow(shared.lean(place), schema)

@@ -19,8 +19,8 @@ import pyarrow.compute as pc
 #: Bytes of distinct pieces given to the library in one batch.
 BATCH_BYTES = 1 << 20
 #: Bytes of pieces and entries that one cache may hold before it starts anew.
-CACHE_BYTES = 48 << 20
-CACHE_ENTRIES = 400_000
+CACHE_BYTES = 16 << 20
+CACHE_ENTRIES = 120_000
 
 #: Unicode White_Space, as the tokenizers' own patterns take it (fixed values).
 SPACE = "\t-\r \x85\xa0  -     　"

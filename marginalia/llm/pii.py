@@ -456,7 +456,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 [batch.column(0), *(pa.array(counts[k], pa.int64()) for k in KINDS), pa.array(digests, pa.string()), pa.array(spans, pa.string())], names=schema.names
             )
 
-    return picked.mapInArrow(find, schema)
+    return picked.mapInArrow(shared.lean(find), schema)
 
 
 def redacted_text(text: str | None, spans: list[Span]) -> str | None:
@@ -492,7 +492,7 @@ def redacted(docs: DataFrame, text_col: str = "text", length_col: str | None = "
             columns[place] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    cleaned = docs.mapInArrow(clean, docs.schema)
+    cleaned = docs.mapInArrow(shared.lean(clean), docs.schema)
     if length_col in docs.columns:
         changed = F.coalesce(F.length(text_col).cast(docs.schema[length_col].dataType), F.col(length_col))
         cleaned = cleaned.withColumn(length_col, changed)

@@ -224,7 +224,7 @@ def quality_scores(docs: DataFrame, model: Model, threshold: float = 0.3, id_col
                     [part.column(0), part.column(1), pa.array(found), pa.array((found >= threshold).astype(np.int32))], names=[id_col, "held_out", "score", "predicted"]
                 )
 
-    return picked.mapInArrow(score, schema)
+    return picked.mapInArrow(shared.lean(score), schema)
 
 
 def kept(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
@@ -242,4 +242,4 @@ def kept(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str =
                 found = own.quality([document_features(t) for t in part.column(place).to_pylist()])
                 yield part.filter(pa.array(found >= threshold))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(shared.lean(keep), docs.schema)

@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embedding_dedup, minhash_dedup, oracles, packing, pii, quality, sharding, substring_dedup, token_counts, url_filter
+from . import decontaminate, embedding_dedup, minhash_dedup, oracles, packing, pii, quality, sharding, shared, substring_dedup, token_counts, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    shared.bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

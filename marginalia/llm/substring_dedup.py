@@ -137,7 +137,7 @@ def removed_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, id_
     shared.ship(spark)
     picked = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"), F.xxhash64(F.coalesce(docs[text_col], F.lit(""))).alias("h"))
     schema = "id long, h long, n_words long, high long, low long, sha string, seeds array<long>"
-    rows = shared.stored(shared.numbered(picked.mapInArrow(_winnow(window, seed), schema)), "winnowed")
+    rows = shared.stored(shared.numbered(picked.mapInArrow(shared.lean(_winnow(window, seed)), schema)), "winnowed")
 
     # Equal word sequences are one class: only its first document is searched, the others lose every word.
     classes = shared.stored(
@@ -156,7 +156,7 @@ def removed_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, id_
         texts.groupBy("id", "h").agg(F.first("text").alias("text"))
         .join(wanted.withColumnRenamed("d", "id"), ["id", "h"])
         .select("class", F.col("id").alias("d"), "high", "low", "shared", "text")
-        .mapInArrow(_runs(window, seed), "class long, d long, seed long, start long, high long, low long, frames array<long>, text binary"),
+        .mapInArrow(shared.lean(_runs(window, seed)), "class long, d long, seed long, start long, high long, low long, frames array<long>, text binary"),
         "runs",
     )
     spans = shared.stored(
@@ -184,7 +184,7 @@ def removed_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, id_
         runs.where("text is not null")
         .select("class", "text")
         .join(flagged, "class")
-        .mapInArrow(_cut(window, with_text), cut_schema)
+        .mapInArrow(shared.lean(_cut(window, with_text)), cut_schema)
     )
     per_class = classes.select("class", "d", "high", "low").join(cut, "class", "left").drop("class")
     later = F.coalesce(F.col("id") > F.col("d"), F.lit(False))

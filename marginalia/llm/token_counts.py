@@ -50,4 +50,4 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None, id_col: str = "
                 [batch.column(0), n_bytes, n_tokens, pc.greater(n_tokens, limit)], names=[id_col, "n_bytes", "n_tokens", "over_limit"]
             )
 
-    return picked.mapInArrow(lengths, schema)
+    return picked.mapInArrow(shared.lean(lengths), schema)
