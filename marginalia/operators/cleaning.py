@@ -31,9 +31,9 @@ def repeated_lines(pages: DataFrame, ratio: float = 0.6, min_len: int = 3) -> Da
 
 
 def without_repeated_lines(pages: DataFrame, ratio: float = 0.6, min_len: int = 3) -> DataFrame:
-    """Pages without their document's repeated lines, wherever on the page they stand; line order is kept."""
+    """Pages without their document's repeated lines, wherever on the page they stand; line order is kept. A null text is an empty page."""
     drop = repeated_lines(pages, ratio, min_len).select("doc_id", "key").withColumn("_drop", F.lit(True))
-    lines = pages.select("doc_id", "page_no", F.posexplode(F.split("text", "\n")).alias("at", "line")).withColumn("key", tx.line_key(F.col("line")))
+    lines = pages.select("doc_id", "page_no", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("at", "line")).withColumn("key", tx.line_key(F.col("line")))
     left = lines.join(drop, ["doc_id", "key"], "left").groupBy("doc_id", "page_no").agg(F.array_sort(F.collect_list(F.when(F.col("_drop").isNull(), F.struct("at", "line")))).alias("l"))
     return left.select("doc_id", "page_no", tx.stripped(F.array_join(F.transform("l", lambda x: x["line"]), "\n")).alias("text"))
 
@@ -62,7 +62,7 @@ def noise_changes(chunks: DataFrame, min_chars: int = 3) -> DataFrame:
 def page_text(chunks: DataFrame) -> DataFrame:
     """(doc_id, page_no, text): a page's chunks in order, one per line."""
     parts = F.array_sort(F.collect_list(F.struct("chunk_index", "text")))
-    return chunks.groupBy("doc_id", "page_no").agg(F.array_join(F.transform(parts, lambda x: x["text"]), "\n").alias("text"))
+    return chunks.groupBy("doc_id", "page_no").agg(F.array_join(F.transform(parts, lambda x: F.coalesce(x["text"], F.lit(""))), "\n").alias("text"))
 
 
 def stratified_sample(pages: DataFrame, bins: int, min_chars: int = 300, seed: int = 42) -> DataFrame:

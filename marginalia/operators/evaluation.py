@@ -143,6 +143,6 @@ def kappa(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 def label_sheet(rows: DataFrame, size: int, seed: int = 0) -> DataFrame:
     """Half unfaithful, half faithful answers for human labels, by a seeded hash."""
-    kind = F.col("faithfulness") < 1.0
-    w = Window.partitionBy("_bad").orderBy(F.xxhash64("id", F.lit(seed)), "id")
-    return rows.where("faithfulness is not null").withColumn("_bad", kind).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= size // 2).drop("_n", "_bad")
+    judged, half = rows.where("faithfulness is not null"), size // 2
+    picked = [judged.where(kind).orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(half) for kind in ("faithfulness < 1.0", "faithfulness >= 1.0")]
+    return picked[0].unionByName(picked[1])

@@ -46,21 +46,61 @@ def spread_grams(df: DataFrame, key: str, char_mode: bool = False, longest: int
     return starts.select("scope", "unit", F.explode(F.array(*runs)).alias("term")).where("term is not null")
 
 
-def tfidf_weights(units: DataFrame, grams: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(scope, unit, term, w): raw counts, smooth idf, L2-normalised rows. ``grams``: (scope, unit, term); ``sizes``: (scope, n)."""
-    counted = grams.groupBy("scope", "unit", "term").agg(F.count(F.lit(1)).alias("tf"))
+def bm25_weights(posting: DataFrame, stats: DataFrame, k1: float, b: float) -> DataFrame:
+    """(scope, term, unit, w): what a term adds to a unit's BM25 score. A term of every unit adds nothing and has no rows."""
+    weight = F.log(F.col("n") / F.col("df")) * (k1 + 1) * F.col("tf") / (k1 * (1 - b + b * F.col("len") / F.col("avg_len")) + F.col("tf"))
+    joined = posting.join(frequencies(posting), ["scope", "term"]).join(stats, "scope")
+    return joined.select("scope", "term", "unit", weight.alias("w")).where("w > 0")
+
+
+def tfidf_tables(units: DataFrame, char_mode: bool = False) -> tuple[DataFrame, DataFrame]:
+    """((scope, unit, term, w), (scope, term, df, idf)): raw counts, smooth idf, L2-normalised rows."""
+    sizes = units.groupBy("scope").agg(F.count(F.lit(1)).alias("n"))
+    counted = spread_grams(units, "unit", char_mode).groupBy("scope", "unit", "term").agg(F.count(F.lit(1)).alias("tf"))
     idf = idf_table(counted, sizes)
     raw = counted.join(idf, ["scope", "term"]).select("scope", "unit", "term", (F.col("tf") * F.col("idf")).alias("raw"))
     norms = raw.groupBy("scope", "unit").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return raw.join(norms, ["scope", "unit"]).select("scope", "unit", "term", (F.col("raw") / F.col("norm")).alias("w"))
+    return raw.join(norms, ["scope", "unit"]).select("scope", "unit", "term", (F.col("raw") / F.col("norm")).alias("w")), idf
 
 
 def idf_table(counted: DataFrame, sizes: DataFrame) -> DataFrame:
     """(scope, term, df, idf) with idf = ln((1 + n) / (1 + df)) + 1."""
     df = counted.groupBy("scope", "term").agg(F.count(F.lit(1)).alias("df"))
-    return df.join(F.broadcast(sizes), "scope").select("scope", "term", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    return df.join(sizes, "scope").select("scope", "term", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
 def stale(old_meta: DataFrame, new_meta: DataFrame) -> DataFrame:
     """Scopes whose fingerprint differs or is new: only these are rebuilt."""
     return new_meta.join(old_meta.select("scope", "fingerprint"), ["scope", "fingerprint"], "left_anti").select("scope")
+
+
+def fingerprints(units: DataFrame) -> DataFrame:
+    """(scope, items, fingerprint) of what an index is made of, in any order: one aggregate over hashes of ids and texts."""
+    h = F.xxhash64("unit", "text").cast("decimal(38,0)")
+    return units.groupBy("scope").agg(F.count(F.lit(1)).alias("items"), F.sha1(F.concat_ws(":", F.count(F.lit(1)), F.sum(h))).alias("fingerprint"))
+
+
+def written(units: DataFrame, path: str, k1: float = 1.5, b: float = 0.75) -> None:
+    """Write the index of units (scope, unit, text): BM25 weights, TF-IDF rows and idf, dealt by term; the fingerprint comes last and makes it valid."""
+    tokens = tokenised(units)
+    weights, idf = tfidf_tables(units)
+    parts = {"bm25": bm25_weights(postings(tokens), statistics(tokens), k1, b), "tfidf": weights, "idf": idf}
+    for name, df in parts.items():
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+    fingerprints(units).write.mode("overwrite").parquet(f"{path}/meta")
+
+
+def opened(units: DataFrame, path: str) -> dict[str, DataFrame]:
+    """The tables of an index, built first where it is absent, unfinished or of other units than these."""
+    spark = units.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/meta/_SUCCESS")
+    there = place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+    if not there or stale(spark.read.parquet(f"{path}/meta"), fingerprints(units)).take(1):
+        written(units, path)
+    return {name: spark.read.parquet(f"{path}/{name}") for name in ("bm25", "tfidf", "idf", "meta")}
+
+
+def forgotten(spark, path: str) -> None:
+    """Delete an index."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

@@ -34,44 +34,36 @@ def question_terms(questions: DataFrame) -> DataFrame:
     return questions.select("q", "scope", F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("term"))
 
 
+def bm25_hits(weights: DataFrame, questions: DataFrame) -> DataFrame:
+    """(q, unit, score) > 0 of an index of BM25 weights (scope, term, unit, w): one join and one sum."""
+    return weights.join(question_terms(questions), ["scope", "term"]).groupBy("q", "unit").agg(F.sum("w").alias("score")).where("score > 0")
+
+
 def bm25_scores(units: DataFrame, questions: DataFrame) -> DataFrame:
     """(q, unit, score) > 0 of units (scope, unit, text): idf is ln(n / df), so terms of every unit count nothing."""
     terms = question_terms(questions)
     tokens = index.tokenised(units)
     stats = index.statistics(tokens)
     posting = index.postings(tokens, terms.select("scope", "term").distinct())
-    weighted = (
-        posting.join(index.frequencies(posting), ["scope", "term"])
-        .join(F.broadcast(stats), "scope")
-        .withColumn("w", F.log(F.col("n") / F.col("df")) * (K1 + 1) * F.col("tf") / (K1 * (1 - B + B * F.col("len") / F.col("avg_len")) + F.col("tf")))
-        .where("w > 0")
-    )
-    return weighted.join(terms, ["scope", "term"]).groupBy("q", "unit").agg(F.sum("w").alias("score")).where("score > 0")
+    return bm25_hits(index.bm25_weights(posting, stats, K1, B), questions)
 
 
 def bm25(units: DataFrame, questions: DataFrame, k: int = 10) -> DataFrame:
     return top_k(bm25_scores(units, questions), k)
 
 
-def tfidf_scores(units: DataFrame, questions: DataFrame, char_mode: bool = False) -> DataFrame:
-    """(q, unit, score) > 0: cosine of TF-IDF rows. Query terms that the index lacks are ignored."""
-    sizes = units.groupBy("scope").agg(F.count(F.lit(1)).alias("n"))
+def tfidf_hits(weights: DataFrame, idf: DataFrame, questions: DataFrame, char_mode: bool = False) -> DataFrame:
+    """(q, unit, score) > 0: cosine of questions with the rows of an index (scope, unit, term, w). Terms that the index lacks are ignored."""
     asked = index.spread_grams(questions, "q", char_mode).groupBy("scope", "unit", "term").agg(F.count(F.lit(1)).alias("tf"))
-    counted = index.spread_grams(units, "unit", char_mode).groupBy("scope", "unit", "term").agg(F.count(F.lit(1)).alias("tf"))
-    idf = index.idf_table(counted, sizes)
-    raw = counted.join(idf, ["scope", "term"]).select("scope", "unit", "term", (F.col("tf") * F.col("idf")).alias("raw"))
-    norms = raw.groupBy("scope", "unit").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
     query = asked.join(idf, ["scope", "term"]).select("scope", F.col("unit").alias("q"), "term", (F.col("tf") * F.col("idf")).alias("qraw"))
-    query_norms = query.groupBy("q").agg(F.sqrt(F.sum(F.col("qraw") * F.col("qraw"))).alias("qnorm"))
-    return (
-        raw.join(query, ["scope", "term"])
-        .groupBy("scope", "q", "unit")
-        .agg(F.sum(F.col("raw") * F.col("qraw")).alias("s"))
-        .join(norms, ["scope", "unit"])
-        .join(query_norms, "q")
-        .select("q", "unit", (F.col("s") / F.col("norm") / F.col("qnorm")).alias("score"))
-        .where("score > 0")
-    )
+    norms = query.groupBy("q").agg(F.sqrt(F.sum(F.col("qraw") * F.col("qraw"))).alias("qnorm"))
+    sums = weights.join(query, ["scope", "term"]).groupBy("q", "unit").agg(F.sum(F.col("w") * F.col("qraw")).alias("s"))
+    return sums.join(norms, "q").select("q", "unit", (F.col("s") / F.col("qnorm")).alias("score")).where("score > 0")
+
+
+def tfidf_scores(units: DataFrame, questions: DataFrame, char_mode: bool = False) -> DataFrame:
+    """(q, unit, score) > 0 of units (scope, unit, text), their index made on the way."""
+    return tfidf_hits(*index.tfidf_tables(units, char_mode), questions, char_mode)
 
 
 def dense(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
@@ -178,12 +170,11 @@ def mmr(candidates: DataFrame, size: int, trade: float = 0.75) -> DataFrame:
 
 
 def tfidf_pipeline(units: DataFrame, questions: DataFrame, k: int = 10, mode: str = "word") -> DataFrame:
-    """5 k candidates, threshold, MMR to 3 k, at most two per page, k hits; the score stays the cosine. Units carry ``page``."""
-    first = top_k(tfidf_scores(units, questions, mode == "char"), 5 * k).where(F.col("score") >= threshold_for(F.lit(mode)))
-    wanted = units.join(first.select("unit").distinct(), "unit", "left_semi")
-    counted = index.spread_grams(wanted, "unit", mode == "char").groupBy("unit", "term").agg(F.count(F.lit(1)).alias("tf"))
-    norms = counted.groupBy("unit").agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("norm"))
-    terms = counted.join(norms, "unit").groupBy("unit").agg(F.map_from_entries(F.collect_list(F.struct("term", F.col("tf") / F.col("norm")))).alias("terms"))
+    """5 k candidates, threshold, MMR to 3 k over the index's own rows, at most two per page, k hits; the score stays the cosine. Units carry ``page``."""
+    weights, idf = index.tfidf_tables(units, mode == "char")
+    first = top_k(tfidf_hits(weights, idf, questions, mode == "char"), 5 * k).where(F.col("score") >= threshold_for(F.lit(mode)))
+    wanted = weights.join(first.select("unit").distinct(), "unit", "left_semi")
+    terms = wanted.groupBy("unit").agg(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("terms"))
     ordered = mmr(first.join(terms, "unit"), 3 * k)
     return page_capped(ordered.join(units.select("unit", "page"), "unit"), k)
 

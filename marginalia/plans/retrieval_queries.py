@@ -48,10 +48,17 @@ qt AS (SELECT DISTINCT item_id AS q, unnest({TOKENS}) AS term FROM benchmark),
 bm AS (SELECT q, unit, sum(ln(n / df) * 2.5 * tf / (1.5 * (0.25 + 0.75 * l / la) + tf)) AS score
        FROM qt JOIN tf USING (term) JOIN df USING (term) JOIN len USING (unit), stat WHERE ln(n / df) > 0 GROUP BY q, unit),
 bmr AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 6) DESC, unit) AS rank FROM bm WHERE score > 0)"""
-DENSE = """
+
+
+def dense_sql(queries: str) -> str:
+    """The vector search of the rows of ``embeddings a`` that a condition picks."""
+    return f"""
 dn AS (SELECT a.vec_id AS q, b.vec_id AS unit, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: x[1]::DOUBLE * x[2]::DOUBLE)) AS score
-       FROM embeddings a, embeddings b WHERE a.vec_id < 20),
+       FROM embeddings a, embeddings b WHERE {queries}),
 dnr AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 6) DESC, unit) AS rank FROM dn)"""
+
+
+DENSE, ITEM_DENSE = dense_sql("a.vec_id % 50 = 0"), dense_sql("a.vec_id IN (SELECT item_id FROM benchmark)")
 RRF = """
 both_ AS (SELECT q, unit, rank AS r, rank AS seen FROM bmr WHERE rank <= 50 UNION ALL SELECT q, unit, rank, 50 + rank FROM dnr WHERE rank <= 50),
 fused AS (SELECT q, unit, sum(1.0::DOUBLE / (60 + r)) AS score, min(seen) AS seen FROM both_ GROUP BY q, unit),
@@ -99,7 +106,11 @@ def tfidf_word_topk(spark, d):
     return shown(retrieval.top_k(retrieval.tfidf_scores(units(spark, d), asked(spark, d)), 10))
 
 
-@registered()
+CHARS = "flatten([" + ", ".join(f"list_transform(range(1, length(text) - {n} + 2), lambda i: substr(text, i, {n}))" for n in (2, 3, 4)) + "])"
+CHAR_TFIDF = TFIDF.replace(f"list_filter({TOKENS}, lambda w: length(w) >= 2) AS w", "text").replace(GRAMS, CHARS)
+
+
+@registered(f"WITH {CHAR_TFIDF} SELECT {SHOWN} FROM tr WHERE rank <= 10")
 def tfidf_char_topk(spark, d):
     return shown(retrieval.top_k(retrieval.tfidf_scores(units(spark, d), asked(spark, d), char_mode=True), 10))
 
@@ -118,12 +129,19 @@ def _fused(spark, d, k):
     return retrieval.rrf(retrieval.bm25(units(spark, d), asked(spark, d), 50), retrieval.dense(*item_vectors(spark, d), 50), k)
 
 
-@registered(f"WITH {BM25}, {DENSE}, {RRF} SELECT {SHOWN} FROM fr WHERE rank <= 10")
+@registered(f"WITH {BM25}, {ITEM_DENSE}, {RRF} SELECT {SHOWN} FROM fr WHERE rank <= 10")
 def hybrid_rrf(spark, d):
     return shown(_fused(spark, d, 10))
 
 
-@registered()
+LEXICAL = r"""
+pool AS (SELECT q, f.unit, rank AS was, list_distinct(list_filter(regexp_split_to_array(lower(b.text), '\s+'), lambda w: w <> '')) AS a,
+         list_filter(regexp_split_to_array(lower(d.text), '\s+'), lambda w: w <> '') AS t FROM fr f JOIN benchmark b ON b.item_id = f.q JOIN documents d ON d.doc_id = f.unit WHERE rank <= 30),
+scored AS (SELECT q, unit, was, CASE WHEN len(a) > 0 THEN len(list_intersect(a, t))::DOUBLE / len(a) ELSE 0 END AS score FROM pool),
+rr AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 6) DESC, was) AS rank FROM scored)"""
+
+
+@registered(f"WITH {BM25}, {ITEM_DENSE}, {RRF}, {LEXICAL} SELECT {SHOWN} FROM rr WHERE rank <= 8")
 def hybrid_rrf_rerank(spark, d):
     u = units(spark, d)
     return shown(retrieval.reranked(_fused(spark, d, 30), asked(spark, d), u.select("unit", "text"), 8))
@@ -159,22 +177,32 @@ def page_cap(spark, d):
     return shown(retrieval.page_capped(_hits(spark, d).withColumn("page", F.expr("unit div 40")), 10))
 
 
-GOLD = r"""
-gold AS (SELECT b.item_id AS q, d.doc_id AS page FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(substr(b.text, 1, 60)))),
+GOLD = rf"""
+iw AS (SELECT item_id AS q, {TOKENS} AS w FROM benchmark), dw AS (SELECT doc_id, {TOKENS} AS w FROM documents),
+iwin AS (SELECT DISTINCT q, n, array_to_string(w[s:s + n - 1], ' ') AS k FROM (SELECT q, w, least(10, len(w)) AS n, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS s FROM iw WHERE len(w) > 0)),
+dwin AS (SELECT DISTINCT doc_id, n, array_to_string(w[s:s + n - 1], ' ') AS k FROM (SELECT doc_id, w, n, unnest(range(1, greatest(1, len(w) - n + 2))) AS s FROM dw, (SELECT DISTINCT n FROM iwin))),
+gold AS (SELECT DISTINCT q, doc_id AS page FROM iwin JOIN dwin USING (n, k)),
 qs AS (SELECT b.item_id AS q, count(g.page) AS n_gold, list_sort(list(CAST(g.page AS INTEGER)) FILTER (g.page IS NOT NULL)) AS pages,
               'b' || (b.item_id % 5) AS doc, CASE WHEN b.item_id % 3 = 0 THEN 'en' ELSE 'fr' END AS lang,
               CASE WHEN count(g.page) = 0 THEN 'L5' ELSE 'L' || (1 + b.item_id % 4) END AS level
        FROM benchmark b LEFT JOIN gold g ON g.q = b.item_id GROUP BY b.item_id)"""
 
 
+def _windows(texts: DataFrame, key: str, sizes: list[int] | None, width: int = 10) -> DataFrame:
+    """(key, n, h): a hash of each run of n words of each text; n is ``width`` or all words of a shorter text, or each of ``sizes``."""
+    toks = texts.select(key, tx.tokens(F.col("text")).alias("t"))
+    starts = toks.select(key, "t", F.posexplode("t").alias("i", "w"))
+    lengths = F.array(F.least(F.lit(width), F.size("t"))) if sizes is None else F.array(*map(F.lit, sizes))
+    runs = starts.select(key, "t", "i", F.explode(lengths).alias("n")).where("i + n <= size(t)")
+    return runs.select(key, "n", F.xxhash64("n", F.array_join(F.slice("t", F.col("i") + 1, F.col("n")), " ")).alias("h")).distinct()
+
+
 def gold_questions(spark, d) -> DataFrame:
-    """Gold pages of an item: documents that hold its first sixty characters. Candidates come from the item's first three words."""
-    first3 = F.array_join(F.slice(tx.tokens(F.substring("text", 1, 60)), 1, 3), " ")
-    toks = tx.tokens(F.col("text"))
-    items = table(spark, d, "benchmark").select(F.col("item_id").alias("q"), F.lower(F.substring("text", 1, 60)).alias("start"), first3.alias("key"))
-    docs = table(spark, d, "documents").select("doc_id", F.lower("text").alias("body"), toks.alias("t"))
-    grams = docs.select("doc_id", "body", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("t") - 2)), lambda i: F.array_join(F.slice("t", i, 3), " ")))).alias("key"))
-    gold = grams.join(F.broadcast(items), "key").where(F.col("body").contains(F.col("start"))).select("q", F.col("doc_id").cast("int").alias("page")).distinct()
+    """Gold pages of an item: documents that hold any ten consecutive words of it, or all words of a shorter one."""
+    wanted = _windows(table(spark, d, "benchmark").withColumnRenamed("item_id", "q"), "q", None)
+    sizes = sorted(r["n"] for r in wanted.select("n").distinct().collect())
+    held = _windows(parallel(table(spark, d, "documents").select("doc_id", "text")), "doc_id", sizes)
+    gold = held.join(wanted, ["n", "h"]).select("q", F.col("doc_id").cast("int").alias("page")).distinct()
     every = table(spark, d, "benchmark").select(F.col("item_id").alias("q"))
     pages = every.join(gold.groupBy("q").agg(F.array_sort(F.collect_list("page")).alias("pages")), "q", "left")
     return pages.select(

@@ -44,11 +44,13 @@ def concept_mastery(spark, d):
     return study.concept_scores(rows, ("user_id", "concept")).withColumn("score", F.round("score", 6))
 
 
-@registered("""WITH a AS (SELECT user_id AS key, event_type AS concept, avg(value) AS score FROM events WHERE event_id % 2 = 0 GROUP BY ALL), b AS (SELECT user_id AS key, event_type AS concept, max(value) AS score FROM events WHERE event_id % 3 = 0 GROUP BY ALL)
+@registered("""WITH a AS (SELECT user_id AS key, event_type AS concept, avg(value) AS score FROM events WHERE ts < TIMESTAMP '2024-01-16' GROUP BY ALL), b AS (SELECT user_id AS key, event_type AS concept, max(value) AS score FROM events WHERE ts >= TIMESTAMP '2024-01-16' GROUP BY ALL)
 SELECT key, concept, round(coalesce(b.score, a.score), 6) AS score FROM a FULL JOIN b USING (key, concept)""")
 def mastery_merge(spark, d):
-    e = table(spark, d, "events").select("event_id", F.col("user_id").alias("key"), F.col("event_type").alias("concept"), "value")
-    old, new = e.where("event_id % 2 = 0").groupBy("key", "concept").agg(F.avg("value").alias("score")), e.where("event_id % 3 = 0").groupBy("key", "concept").agg(F.max("value").alias("score"))
+    """The layer of the month's first half under that of the second."""
+    e = table(spark, d, "events").select("ts", F.col("user_id").alias("key"), F.col("event_type").alias("concept"), "value")
+    early = F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz")
+    old, new = e.where(early).groupBy("key", "concept").agg(F.avg("value").alias("score")), e.where(~early).groupBy("key", "concept").agg(F.max("value").alias("score"))
     return study.merged_mastery(old, new).withColumn("score", F.round("score", 6))
 
 

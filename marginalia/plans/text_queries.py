@@ -9,7 +9,7 @@ from ..functions import udfs
 from ..operators import chunking, cleaning, rollup
 from ..sources import tables
 from ..sources.tables import corpus, table
-from .catalogue import registered
+from .catalogue import ORACLES, registered
 
 SPACE = r"'^\s+|\s+$', '', 'g'"
 CORPUS = "SELECT source AS book, CAST(doc_id + 1 AS INTEGER) AS page_no, text FROM documents"
@@ -41,7 +41,14 @@ def repeated_lines(spark, d):
     return cleaning.repeated_lines(pages(spark, d), 0.04)
 
 
-@registered()
+REPEATED = ORACLES["repeated_lines"].removeprefix("WITH ")
+
+
+@registered(rf"""WITH {REPEATED.replace("SELECT doc_id, key, CAST", ", rep AS (SELECT doc_id, key, CAST", 1)}),
+line AS (SELECT source AS doc_id, CAST(doc_id + 1 AS INTEGER) AS page_no, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS at FROM documents),
+kept AS (SELECT l.* FROM line l ANTI JOIN rep r ON r.doc_id = l.doc_id AND r.key = regexp_replace(lower(regexp_replace(l.line, {SPACE})), '\s+', ' ', 'g'))
+SELECT p.source AS doc_id, CAST(p.doc_id + 1 AS INTEGER) AS page_no, coalesce(regexp_replace(string_agg(k.line, chr(10) ORDER BY k.at), {SPACE}), '') AS text
+FROM documents p LEFT JOIN kept k ON k.doc_id = p.source AND k.page_no = p.doc_id + 1 GROUP BY p.source, p.doc_id""")
 def pages_without_repeated_lines(spark, d):
     return cleaning.without_repeated_lines(pages(spark, d), 0.04)
 
@@ -59,8 +66,7 @@ def nfkc_clean(spark, d):
     return table(spark, d, "documents").select("doc_id", tx.clean_page(udfs.nfkc("text")).alias("text"))
 
 
-@registered(r"""WITH c AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'a . . . . . . 9' || chr(10) || substr(text, 1, 20) WHEN 1 THEN '(continues on next page)' WHEN 2 THEN 'x ↩→ y  z' ELSE substr(text, 1, 20) END AS text FROM documents),
-n AS (SELECT doc_id, text, regexp_replace(regexp_replace(regexp_replace(text, '(?i)\(?\s*continue[sd] (?:from previous|on next) page\s*\)?', '', 'g'), '[ \t]*\.(?:[ \t]+\.){4,}[ \t]*', ' ', 'g'), '\s*↩→\s*', ' ', 'g') AS c1 FROM c),
+@registered(r"""WITH n AS (SELECT doc_id, text, regexp_replace(regexp_replace(regexp_replace(text, '(?i)\(?\s*continue[sd] (?:from previous|on next) page\s*\)?', '', 'g'), '[ \t]*\.(?:[ \t]+\.){4,}[ \t]*', ' ', 'g'), '\s*↩→\s*', ' ', 'g') AS c1 FROM documents),
 t AS (SELECT doc_id, text, regexp_replace(regexp_replace(regexp_replace(regexp_replace(c1, '[ \t]{2,}', ' ', 'g'), '\n[ \t]+', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS new_text FROM n WHERE c1 <> text)
 SELECT doc_id, new_text, CASE WHEN length(new_text) < 3 THEN 'delete' ELSE 'update' END AS action FROM t""")
 def noise_diff(spark, d):
@@ -84,12 +90,12 @@ def ordered_lookup(spark, d):
     return tables.in_order(table(spark, d, "documents"), [5, 3, 99999999, 5], "doc_id").select("pos", "doc_id", "source")
 
 
-@registered("SELECT doc_id AS card FROM documents WHERE doc_id % 3 <> 0 AND doc_id % 5 <> 0 AND doc_id % 2 = 0")
+@registered(r"SELECT doc_id AS card FROM documents WHERE regexp_replace(text, '[ \t]{2,}', ' ', 'g') = text")
 def kept_cards(spark, d):
-    chunks = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
-    old, cards = chunks, chunks.where("chunk_id % 2 = 0").select("chunk_id", F.col("chunk_id").alias("card"))
-    new = chunks.where("chunk_id % 3 <> 0").withColumn("text", F.when(F.col("chunk_id") % 5 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
-    return tables.kept_cards(cards, old, new).select("card")
+    """A card for each chunk; the new version of a chunk has its blanks squeezed, so cards of changed chunks go."""
+    old = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    new = old.withColumn("text", F.regexp_replace("text", r"[ \t]{2,}", " "))
+    return tables.kept_cards(old.select("chunk_id", F.col("chunk_id").alias("card")), old, new).select("card")
 
 
 @registered("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -127,14 +133,14 @@ def parse_groups(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(g).alias("n"), F.array_join(F.transform(g, lambda x: F.array_join(x.cast("array<string>"), " ")), "|").alias("groups"))
 
 
-@registered(r"""SELECT doc_id, regexp_replace(lower(substr(text, 1, 80)), '[^\p{L}\p{N}]+', '', 'g') AS answer_key, substr(regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^ | $', '', 'g'), 1, 40) AS snippet,
+@registered(r"""SELECT doc_id, regexp_replace(lower(text), '[^\p{L}\p{N}]+', '', 'g') AS answer_key, substr(regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^ | $', '', 'g'), 1, 40) AS snippet,
 regexp_matches(text, '[\x{4e00}-\x{9fff}]') AS has_han FROM documents""")
 def text_scalars(spark, d):
     t = F.col("text")
     return table(spark, d, "documents").select("doc_id", tx.answer_key(t).alias("answer_key"), tx.snippet(t, 40).alias("snippet"), tx.has_han(t).alias("has_han"))
 
 
-@registered("""WITH e AS (SELECT source AS doc_id, doc_id AS pos, CAST(doc_id + 1 AS INTEGER) AS page, 't' || (doc_id % 13) AS title FROM documents WHERE doc_id % 7 < 3),
+@registered("""WITH e AS (SELECT source AS doc_id, doc_id AS pos, CAST(doc_id + 1 AS INTEGER) AS page, 't' || (doc_id % 13) AS title FROM documents),
 s AS (SELECT doc_id, page AS start, arg_max(title, pos) AS title FROM e GROUP BY doc_id, page),
 r AS (SELECT *, lead(start) OVER (PARTITION BY doc_id ORDER BY start) AS nxt FROM s), n AS (SELECT source AS doc_id, CAST(max(doc_id) + 1 AS INTEGER) AS num_pages FROM documents GROUP BY source)
 SELECT doc_id, title, start, coalesce(nxt - 1, num_pages) AS "end" FROM r JOIN n USING (doc_id) WHERE start <= coalesce(nxt - 1, num_pages)""")
@@ -144,19 +150,23 @@ def toc_ranges(spark, d):
 
 def _toc(spark, d):
     docs = table(spark, d, "documents")
-    entries = docs.where("doc_id % 7 < 3").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("pos"), F.lit(1).alias("level"), F.concat(F.lit("t"), (F.col("doc_id") % 13).cast("string")).alias("title"), (F.col("doc_id") + 1).cast("int").alias("page"))
+    entries = docs.select(F.col("source").alias("doc_id"), F.col("doc_id").alias("pos"), F.lit(1).alias("level"), F.concat(F.lit("t"), (F.col("doc_id") % 13).cast("string")).alias("title"), (F.col("doc_id") + 1).cast("int").alias("page"))
     sizes = docs.groupBy(F.col("source").alias("doc_id")).agg((F.max("doc_id") + 1).cast("int").alias("num_pages"))
     return rollup.toc_ranges(entries, sizes)
 
 
-@registered("""WITH e AS (SELECT source AS doc_id, CAST(doc_id + 1 AS INTEGER) AS start FROM documents WHERE doc_id % 7 < 3),
+@registered("""WITH e AS (SELECT source AS doc_id, CAST(doc_id + 1 AS INTEGER) AS start FROM documents),
 r AS (SELECT doc_id, start, coalesce(lead(start) OVER (PARTITION BY doc_id ORDER BY start) - 1, (SELECT CAST(max(doc_id) + 1 AS INTEGER) FROM documents x WHERE x.source = e.doc_id)) AS "end" FROM e)
 SELECT d.source AS doc_id, CAST(d.doc_id + 1 AS INTEGER) AS page_no, r.start FROM documents d JOIN r ON r.doc_id = d.source AND d.doc_id + 1 BETWEEN r.start AND r."end" """)
 def range_join_sections(spark, d):
     return rollup.paged_ranges(pages(spark, d).select("doc_id", "page_no"), _toc(spark, d)).select("doc_id", "page_no", "start")
 
 
-@registered()
+@registered("""WITH RECURSIVE p AS (SELECT source AS doc_id, CAST(doc_id + 1 AS INTEGER) AS page_no, length(text) AS size, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents),
+w AS (SELECT doc_id, i, page_no, 1 AS part, size AS load FROM p WHERE i = 1
+  UNION ALL SELECT p.doc_id, p.i, p.page_no, CASE WHEN w.load + p.size <= 12000 THEN w.part ELSE w.part + 1 END, CASE WHEN w.load + p.size <= 12000 THEN w.load + p.size ELSE p.size END
+  FROM w JOIN p ON p.doc_id = w.doc_id AND p.i = w.i + 1)
+SELECT doc_id, CAST(part AS INTEGER) AS part, min(page_no) AS start, max(page_no) AS "end" FROM w GROUP BY doc_id, part""")
 def section_windows(spark, d):
     return rollup.windows(pages(spark, d))
 
