@@ -146,3 +146,36 @@ def label_sheet(rows: DataFrame, size: int, seed: int = 0) -> DataFrame:
     judged, half = rows.where("faithfulness is not null"), size // 2
     picked = [judged.where(kind).orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(half) for kind in ("faithfulness < 1.0", "faithfulness >= 1.0")]
     return picked[0].unionByName(picked[1])
+
+
+def question_rows(rows: DataFrame, rankings: DataFrame, ks: tuple[int, ...] = KS) -> DataFrame:
+    """Per-question rows with the first five pages, hits at each k and the reciprocal rank; without gold all of these are null."""
+    top = rankings.where("rank <= 5").groupBy("retriever", "q").agg(*(F.max(F.when(F.col("rank") == i, F.col("page"))).alias(f"top{i}") for i in range(1, 6)))
+    gold = F.col("n_groups") > 0
+    at = [F.when(gold, F.col(c).between(1, k).cast("int")).alias(f"{n}_{k}") for c, n in (("first", "hit"), ("full", "full")) for k in ks]
+    rr = F.when(gold, F.when(F.col("first") > 0, F.round(1.0 / F.col("first"), 4)).otherwise(0.0)).alias("rr")
+    rank = [F.when(gold & (F.col(c) > 0), F.col(c)).alias(f"{c}_rank") for c in ("first", "full")]
+    return rows.join(top, ["retriever", "q"], "left").select("retriever", "q", "doc", "lang", "level", "n_groups", *(f"top{i}" for i in range(1, 6)), *rank, *at, rr, F.col("nothing").cast("int").alias("nothing"))
+
+
+def top_texts(hits: DataFrame, groups: DataFrame, n: int = 5) -> DataFrame:
+    """The first n hits (q, page, score, rank) of each question and whether their page is gold (q, groups)."""
+    gold = F.array_distinct(F.flatten("groups"))
+    few = hits.where(F.col("rank") <= n).join(groups.select("q", gold.alias("_gold")), "q", "left")
+    return few.select(*hits.columns, F.coalesce(F.array_contains("_gold", F.col("page")), F.lit(False)).cast("int").alias("is_gold"))
+
+
+def summary_order(slice_: Column) -> Column:
+    """Sort key of a slice: ALL first, retrieval slices last."""
+    return F.when(slice_ == "ALL", 0).when(slice_.startswith("retrieval="), 2).otherwise(1)
+
+
+def index_costs(builds: DataFrame, searches: DataFrame) -> DataFrame:
+    """(retriever, items, seconds, ms): builds (retriever, items, seconds) summed, mean milliseconds of searches (retriever, ms)."""
+    made = builds.groupBy("retriever").agg(F.sum("items").alias("items"), F.sum("seconds").alias("seconds"))
+    return made.join(searches.groupBy("retriever").agg(F.avg("ms").alias("ms")), "retriever", "left")
+
+
+def compared_rows(judged: DataFrame, modes: tuple[str, ...]) -> DataFrame:
+    """Scores (id, mode, score) of several judging modes side by side; an id that a mode lacks is null there."""
+    return judged.groupBy("id").agg(*(F.max(F.when(F.col("mode") == m, F.col("score"))).alias(m) for m in modes))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -104,3 +104,13 @@ def forgotten(spark, path: str) -> None:
     """Delete an index."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def analyser_modes(units: DataFrame, order: str = "unit", sample: int = 20_000, least: float = 0.15) -> DataFrame:
+    """(scope, mode): ``char`` where enough of the first ``sample`` characters of a scope's texts, in order, are Chinese, else ``word``."""
+    before = Window.partitionBy("scope").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    sized = units.select("scope", order, F.coalesce("text", F.lit("")).alias("text")).withColumn("at", F.coalesce(F.sum(F.length("text")).over(before), F.lit(0)))
+    head = sized.where(F.col("at") < sample).select("scope", F.expr(f"substring(text, 1, cast({sample} - at as int))").alias("text"))
+    han = F.length(F.regexp_replace("text", r"[^\x{4e00}-\x{9fff}]", ""))
+    ratio = F.sum(han) / F.nullif(F.sum(F.length("text")), F.lit(0))
+    return head.groupBy("scope").agg(F.when(F.coalesce(ratio, F.lit(0.0)) >= least, "char").otherwise("word").alias("mode"))

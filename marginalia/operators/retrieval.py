@@ -220,3 +220,28 @@ def agent_rounds(search: Callable[[DataFrame, int], DataFrame], questions: DataF
         room = Window.partitionBy("q").orderBy(F.desc(F.col("hop") == hop), "hop", "rank")
         found = merged.withColumn("_n", F.row_number().over(room)).where(F.col("_n") <= keep).drop("_n")
     return found
+
+
+def search(questions: DataFrame, chunks: Callable[[DataFrame], DataFrame], children: Callable[[DataFrame], DataFrame] | None = None, k: int = 8) -> DataFrame:
+    """The entry of an application: (q, unit, page, score, rank) for questions (q, scope, text).
+
+    Blank questions and k of at most 0 find nothing. Child hits (q, unit, parent, page, score, rank) are collapsed to parents where
+    a question's scope has children, else its chunks are searched.
+    """
+    live = questions.where(F.trim(F.coalesce("text", F.lit(""))) != "").where(F.lit(k) > 0)
+    if children is None:
+        return chunks(live).where(F.col("rank") <= k).select("q", "unit", "page", "score", "rank")
+    found = collapsed_parents(children(live), k).select("q", "unit", "page", "score", "rank")
+    rest = live.join(found.select("q").distinct(), "q", "left_anti")
+    return found.unionByName(chunks(rest).where(F.col("rank") <= k).select("q", "unit", "page", "score", "rank"))
+
+
+def with_cards(hits: DataFrame, cards: DataFrame) -> DataFrame:
+    """Hits with their chunk's card (chunk_id, topic, description), null where there is none."""
+    return hits.join(cards.select(F.col("chunk_id").alias("unit"), F.col("topic").alias("card_topic"), F.col("description").alias("card_description")), "unit", "left")
+
+
+def retriever_parts(name: Column) -> tuple[Column, Column]:
+    """``bm25@150o40`` to its retriever and its unit; without a unit it searches chunks."""
+    parts = F.split(name, "@")
+    return parts[0], F.coalesce(F.get(parts, F.lit(1)), F.lit("chunks"))

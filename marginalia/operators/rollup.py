@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SECTION_CHARS, CARD_BATCH, CARD_RETRY = 12_000, 8, 4
@@ -93,3 +93,37 @@ def section_rollup(sections: DataFrame) -> DataFrame:
     title = F.coalesce(F.nullif("toc_title", F.lit("")), F.nullif("llm_title", F.lit("")), F.format_string("Pages %d-%d", "start", "end"))
     row = F.struct("start", "end", title.alias("title"), "main_idea")
     return sections.where("main_idea is not null").groupBy("doc_id").agg(F.array_sort(F.collect_list(row)).alias("sections"))
+
+
+def source_text(pages: DataFrame, ranges: DataFrame, most: int = 40_000) -> DataFrame:
+    """(doc_id, start, text) of each range's pages: ``[p.N] text`` blocks a blank line apart, cut at ``most`` characters."""
+    block = F.struct("page_no", F.concat(F.lit("[p."), F.col("page_no").cast("string"), F.lit("] "), F.coalesce("text", F.lit(""))).alias("t"))
+    blocks = F.transform(F.array_sort(F.collect_list(block)), lambda x: x["t"])
+    return paged_ranges(pages, ranges).groupBy("doc_id", "start").agg(F.substring(F.array_join(blocks, "\n\n"), 1, most).alias("text"))
+
+
+def card_prompts(chunks: DataFrame) -> DataFrame:
+    """(doc_id, batch, prompt) of chunks (doc_id, batch, page_no, chunk_index, text): ``[c1] (p.N) text`` blocks in order."""
+    ordered = F.array_sort(F.collect_list(F.struct("page_no", "chunk_index", "text")))
+    lines = F.transform(ordered, lambda x, i: F.concat(F.lit("[c"), (i + 1).cast("string"), F.lit("] (p."), x["page_no"].cast("string"), F.lit(") "), x["text"]))
+    return chunks.groupBy("doc_id", "batch").agg(F.array_join(lines, "\n\n").alias("prompt"))
+
+
+def cards_in_order(cards: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Cards with their chunk's place, in reading order."""
+    return cards.join(chunks.select("chunk_id", "page_no", "chunk_index"), "chunk_id").orderBy("page_no", "chunk_index")
+
+
+def children_in_order(children: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Children with their parent's place, by page, parent and child."""
+    return children.join(chunks.select(F.col("chunk_id").alias("parent_id"), "chunk_index"), "parent_id").orderBy("page_no", "chunk_index", "child_index")
+
+
+def next_after_check(issues: Column, checks: Column, most: int = 1) -> Column:
+    """Whether a summary is written again."""
+    return F.when((F.size(issues) > 0) & (checks <= most), "summarize").otherwise("finalize")
+
+
+def change_counts(changes: DataFrame) -> DataFrame:
+    """(doc_id, n): changed rows of each document, most first."""
+    return changes.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "doc_id")

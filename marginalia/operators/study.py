@@ -148,8 +148,91 @@ def map_rows(rows: DataFrame, call, schema: str) -> DataFrame:
     return rows.mapInPandas(call, schema)
 
 
+def stalled(hops: Column, cited: Column, before: Column) -> Column:
+    """Whether a further search gave no new page to cite."""
+    return (hops > 1) & (F.size(F.array_except(cited, F.coalesce(before, F.array().cast("array<int>")))) == 0)
+
+
+def after_notes(intent: Column, again: Column) -> Column:
+    """The step after the notes: another search, or what was asked for."""
+    made = {"ask": "answer", "summary": "topic_summary", "flashcard": "make_flashcards", "quiz": "make_quiz"}
+    step = F.when(again, "retrieve")
+    for key, name in made.items():
+        step = step.when(intent == key, name)
+    return step
+
+
+def after_retrieve(context: Column) -> Column:
+    return F.when(F.size(context) > 0, "summarize_topic").otherwise("no_context")
+
+
+def after_quiz(questions: Column) -> Column:
+    return F.when(F.size(questions) > 0, "collect_answers").otherwise("end")
+
+
+def after_grade(weak: Column, round_: Column, most: int = 3) -> Column:
+    return F.when((F.size(weak) > 0) & (round_ < most), "review").otherwise("remember")
+
+
+def after_language(scan: Column, language: Column) -> Column:
+    return F.when(~scan, "clean").when(language == "zh", "ocr").otherwise("ocr_failed")
+
+
+def shown_cards(cards: DataFrame, shown: DataFrame) -> DataFrame:
+    """Cards that cite a page which was shown (q, page); others are dropped."""
+    return cards.join(shown.select("q", "page"), ["q", "page"], "left_semi")
+
+
+def document_context(points: DataFrame, cards: DataFrame, chunks: DataFrame, carded: DataFrame, many: int = 30, few: int = 5) -> DataFrame:
+    """(doc_id, pos, text): a document's summary points, else its cards if it has all of them, else its chunks; evenly spaced ones of each.
+
+    Inputs are (doc_id, pos, text); ``carded`` lists the documents (doc_id) whose chunks all have cards.
+    """
+    first = points.select("doc_id", "pos", "text")
+    done = first.select("doc_id").distinct()
+    second = cards.join(carded.select("doc_id"), "doc_id", "left_semi").join(done, "doc_id", "left_anti").select("doc_id", "pos", "text")
+    third = chunks.join(done, "doc_id", "left_anti").join(second.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", "pos", "text")
+    return spread(first.unionByName(second), "doc_id", "pos", many).unionByName(spread(third, "doc_id", "pos", few))
+
+
+def context_block(page: Column, text: Column, topic: Column | None = None, description: Column | None = None) -> Column:
+    """``[p.N] Card: topic - description`` and the text; without a topic the text alone follows the page."""
+    card = F.lit("") if topic is None else F.when(F.coalesce(topic, F.lit("")) != "", F.concat(F.lit("Card: "), topic, F.lit(" - "), F.coalesce(description, F.lit("")), F.lit("\n"))).otherwise("")
+    return F.concat(F.lit("[p."), page.cast("string"), F.lit("] "), card, F.coalesce(text, F.lit("")))
+
+
+def notes_text(idea: Column, points: Column) -> Column:
+    """A main idea and its points (text, page), one a line."""
+    lines = F.transform(points, lambda p: F.concat(F.lit("- "), p["text"], F.lit(" (p."), p["page"].cast("string"), F.lit(")")))
+    return F.when(idea.isNull() & (F.size(points) <= 0), "(no notes)").otherwise(F.concat(F.coalesce(idea, F.lit("")), F.lit("\n"), F.array_join(lines, "\n")))
+
+
+def memory_text(topics: Column, weak: Column) -> Column:
+    """What is remembered of a document: topics (topic, takeaway) and missed concepts."""
+    lines = F.transform(topics, lambda t: F.concat(F.lit("- "), t["topic"], F.lit(": "), t["takeaway"]))
+    missed = F.when(F.size(weak) > 0, F.array(F.concat(F.lit("- Concepts missed in quizzes: "), F.array_join(weak, ", "))))
+    told = F.concat(lines, F.coalesce(missed, F.array().cast("array<string>")))
+    return F.when(F.size(told) > 0, F.array_join(told, "\n")).otherwise("(nothing yet)")
+
+
+def conversation_text(summary: Column, history_: Column) -> Column:
+    """The running summary, if any, and the recent messages."""
+    head = F.when(F.coalesce(summary, F.lit("")) != "", F.concat(F.lit("Summary of earlier turns:\n"), summary, F.lit("\n\n"))).otherwise("")
+    return F.concat(head, F.lit("Recent messages:\n"), F.coalesce(F.nullif(history_, F.lit("")), F.lit("(no earlier messages)")))
+
+
+def reviewed(found: DataFrame, context: DataFrame) -> DataFrame:
+    """Hits (q, unit, pos) of a review's search; a question whose search found nothing keeps its old context."""
+    return found.unionByName(context.join(found.select("q").distinct(), "q", "left_anti"))
+
+
+def text_card(text: Column) -> tuple[Column, Column]:
+    """The stand-in for a chunk's card where no model wrote one: its first words as topic and description."""
+    return tx.first_words(text, 8, 30), tx.first_words(text, 40, 200)
+
+
 def first_sentences(texts, count: int = 2):
-    """The default extractive stand-in for a model that writes notes or cards."""
+    """The default extractive stand-in for a model that writes notes: pass it to ``pandas_udf``."""
     from ..functions.udfs import split_english
 
     return texts.map(lambda t: " ".join(split_english(t or "")[:count]))

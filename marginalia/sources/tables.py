@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 PAGE = "doc_id string, page_no int, text_raw string, text_clean string"
 CHUNK = "chunk_id string, doc_id string, page_no int, chunk_index int, text string"
+CARD = "chunk_id string, doc_id string, topic string, description string"
 QUESTION = "id string, doc_id string, doc string, lang string, level string, q string, gold_pages array<int>, gold_groups array<array<int>>, excluded boolean"
 
 
@@ -69,12 +70,6 @@ def kept_cards(cards: DataFrame, old_chunks: DataFrame, new_chunks: DataFrame) -
     return cards.join(same.select("chunk_id"), "chunk_id", "left_semi")
 
 
-def replace_document(path: str, tables: dict[str, DataFrame], doc_id: str) -> None:
-    """Rewrite one document in each table by dynamic partition overwrite; a table's write is committed as a whole."""
-    for name, df in tables.items():
-        df.where(F.col("doc_id") == doc_id).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc_id").parquet(f"{path}/{name}")
-
-
 def resumable(todo: DataFrame, log: DataFrame, key: str = "id") -> DataFrame:
     """What a resume log does not hold yet."""
     return todo.join(log.select(key), key, "left_anti")
@@ -86,12 +81,29 @@ def last_records(log: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(path)
+    """A CSV with a header; the header's first name starts with a byte-order mark, which spreadsheets need."""
+    first, *rest = df.columns
+    df.select(df[first].alias(f"\ufeff{first}"), *rest).write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(path)
+
+
+def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A CSV with a header in UTF-8, with or without a byte-order mark, or in GBK: a replacement character in the UTF-8 reading decides."""
+    def read(encoding: str) -> DataFrame:
+        return spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("encoding", encoding).csv(path)
+
+    utf = read("UTF-8")
+    texts = [F.coalesce(F.col(f.name).cast("string"), F.lit("")) for f in utf.schema.fields]
+    return read("GBK") if utf.where(F.concat(*texts).contains("\ufffd")).take(1) else utf
+
+
+def save_json(df: DataFrame, path: str) -> None:
+    """One JSON object per row; the write is committed as a whole."""
+    df.select(F.to_json(F.struct(*df.columns)).alias("value")).write.mode("overwrite").text(path)
 
 
-def read_csv(spark: SparkSession, path: str, schema: str, encoding: str = "UTF-8") -> DataFrame:
-    """A CSV with a header; pass ``GBK`` for files that are not UTF-8."""
-    return spark.read.schema(schema).option("header", True).option("encoding", encoding).csv(path)
+def appended_log(df: DataFrame, path: str) -> None:
+    """Records appended to a JSON-lines log that ``resumable`` and ``last_records`` read."""
+    df.write.mode("append").json(path)
 
 
 def in_order(rows: DataFrame, ids: list, key: str) -> DataFrame:

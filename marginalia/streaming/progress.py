@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import store
+
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
@@ -40,27 +42,58 @@ def deduplicated(events: DataFrame, late: str = "10 minutes") -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def merged_into(path: str, keys: list[str]):
-    """A ``foreachBatch`` sink that upserts into a versioned Parquet table: a new version is written, then the pointer moves."""
+def merged_into(path: str, keys: list[str], order: str | None = None):
+    """A ``foreachBatch`` sink that upserts into versions of a Parquet table.
+
+    A version counts once its ``_SUCCESS`` is there, so a batch that died half-way is written again and a repeated one is not. Of rows
+    with equal keys in one batch the last by ``order`` is taken, or any one without it.
+    """
 
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        jvm = spark._jvm
-        fs = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-        versions = sorted(int(s.getPath().getName()[1:]) for s in fs.listStatus(jvm.org.apache.hadoop.fs.Path(path))) if fs.exists(jvm.org.apache.hadoop.fs.Path(path)) else []
+        path_of = spark._jvm.org.apache.hadoop.fs.Path
+        fs = path_of(path).getFileSystem(spark._jsc.hadoopConfiguration())
+        listed = fs.listStatus(path_of(path)) if fs.exists(path_of(path)) else []
+        versions = sorted(int(s.getPath().getName()[1:]) for s in listed if fs.exists(path_of(f"{path}/{s.getPath().getName()}/_SUCCESS")))
         if epoch in versions:
             return
-        merged = batch
+        rest = [c for c in batch.columns if c not in keys]
+        merged = batch.dropDuplicates(keys) if order is None else batch.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_r")).select(*keys, "_r.*")
         if versions:
             old = spark.read.parquet(f"{path}/v{versions[-1]}")
-            merged = old.join(batch.select(*keys), keys, "left_anti").unionByName(batch)
+            merged = old.join(merged.select(*keys), keys, "left_anti").unionByName(merged)
         merged.write.mode("overwrite").parquet(f"{path}/v{epoch}")
 
     return write
 
 
+#: What a job's state may follow (fixed values).
+JOB_ORDER = ("building", "ready", "summarizing", "summarized")
+
+
+def job_states(events: DataFrame) -> DataFrame:
+    """(doc_id, state, ts) of job events (doc_id, state, ts): the furthest state; an error after it wins, a later restart clears it. One grouped fold, batch or stream."""
+    rank = F.array_position(F.array(*map(F.lit, JOB_ORDER)), F.col("state"))
+    last = F.max(F.struct("ts", "state"))
+    best = F.max(F.struct(rank.alias("rank"), "ts", "state"))
+    told = events.groupBy("doc_id").agg(last.alias("last"), best.alias("best"))
+    failed, again = F.col("last.state") == "error", F.col("last.state") == "building"
+    return told.select("doc_id", F.when(failed | again, F.col("last.state")).otherwise(F.col("best.state")).alias("state"), F.col("last.ts").alias("ts"))
+
+
+def accepted_answers(resumes: DataFrame) -> DataFrame:
+    """The first answer to each pause (thread, pause); later ones of the same pause are rejected."""
+    rest = [c for c in resumes.columns if c not in ("thread", "pause")]
+    return resumes.groupBy("thread", "pause").agg(F.min_by(F.struct(*rest), F.struct("ts", *[c for c in rest if c != "ts"])).alias("_r")).select("thread", "pause", "_r.*")
+
+
 def run_to_end(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Drive a stream over what is there now and return its result as a table."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+    """Drive a stream over what is there now and return its last result as a table on disk; no rows pass through the driver."""
+    spark, path = stream.sparkSession, store.workspace(stream.sparkSession, name)
+
+    def keep(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}-state").trigger(availableNow=True)
+    writer.foreachBatch(keep).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
