@@ -90,12 +90,12 @@ def written(units: DataFrame, path: str, k1: float = 1.5, b: float = 0.75) -> No
     fingerprints(units).write.mode("overwrite").parquet(f"{path}/meta")
 
 
-def opened(units: DataFrame, path: str) -> dict[str, DataFrame]:
-    """The tables of an index, built first where it is absent, unfinished or of other units than these."""
+def opened(units: DataFrame, path: str, scan: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The tables of an index, built first where it is absent, unfinished or of other units than these. ``scan``: the same units for the comparison, which needs no dealing out."""
     spark = units.sparkSession
     place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/meta/_SUCCESS")
     there = place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
-    if not there or stale(spark.read.parquet(f"{path}/meta"), fingerprints(units)).take(1):
+    if not there or stale(spark.read.parquet(f"{path}/meta"), fingerprints(units if scan is None else scan)).take(1):
         written(units, path)
     return {name: spark.read.parquet(f"{path}/{name}") for name in ("bm25", "tfidf", "idf", "meta")}
 

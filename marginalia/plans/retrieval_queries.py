@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import evaluation, index, retrieval
+from ..sources import store
 from ..sources.tables import parallel, table
 from .catalogue import registered
 
@@ -33,6 +36,16 @@ def item_vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return v, items.join(v, items["q"] == v["unit"]).select("q", F.col("v").alias("qv"))
 
 
+def built(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """The index of all documents, made once for an application and a folder, and anew if the texts change."""
+    scan = table(spark, d, "documents").select(F.lit("all").alias("scope"), F.col("doc_id").alias("unit"), "text")
+    return index.opened(units(spark, d), store.workspace(spark, f"index-{hashlib.sha1(d.encode()).hexdigest()}"), scan)
+
+
+def bm25(spark: SparkSession, d: str, k: int) -> DataFrame:
+    return retrieval.top_k(retrieval.bm25_hits(built(spark, d)["bm25"], asked(spark, d)), k)
+
+
 def shown(hits: DataFrame) -> DataFrame:
     return hits.select("q", "unit", F.round("score", 4).alias("score"), F.col("rank").cast("int").alias("rank"))
 
@@ -68,7 +81,7 @@ SHOWN = "q, unit, round(score, 4) AS score, CAST(rank AS INTEGER) AS rank"
 
 @registered(f"WITH {BM25} SELECT {SHOWN} FROM bmr WHERE rank <= 10")
 def bm25_topk(spark, d):
-    return shown(retrieval.bm25(units(spark, d), asked(spark, d), 10))
+    return shown(bm25(spark, d, 10))
 
 
 @registered(f"WITH {BM25} SELECT 'all' AS scope, n, round(la, 4) AS avg_len FROM stat")
@@ -103,7 +116,8 @@ tr AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 6) DESC
 
 @registered(f"WITH {TFIDF} SELECT {SHOWN} FROM tr WHERE rank <= 10")
 def tfidf_word_topk(spark, d):
-    return shown(retrieval.top_k(retrieval.tfidf_scores(units(spark, d), asked(spark, d)), 10))
+    found = built(spark, d)
+    return shown(retrieval.top_k(retrieval.tfidf_hits(found["tfidf"], found["idf"], asked(spark, d)), 10))
 
 
 CHARS = "flatten([" + ", ".join(f"list_transform(range(1, length(text) - {n} + 2), lambda i: substr(text, i, {n}))" for n in (2, 3, 4)) + "])"
@@ -126,7 +140,7 @@ def dense_topk(spark, d):
 
 
 def _fused(spark, d, k):
-    return retrieval.rrf(retrieval.bm25(units(spark, d), asked(spark, d), 50), retrieval.dense(*item_vectors(spark, d), 50), k)
+    return retrieval.rrf(bm25(spark, d, 50), retrieval.dense(*item_vectors(spark, d), 50), k)
 
 
 @registered(f"WITH {BM25}, {ITEM_DENSE}, {RRF} SELECT {SHOWN} FROM fr WHERE rank <= 10")
@@ -151,7 +165,7 @@ HITS = f"WITH {BM25}, h AS (SELECT q, unit, unit // 3 AS page, unit // 4 AS pare
 
 
 def _hits(spark, d):
-    return retrieval.bm25(units(spark, d), asked(spark, d), 30).select("q", "unit", F.expr("unit div 3").alias("page"), F.expr("unit div 4").alias("parent"), "score", F.col("rank").cast("long").alias("rank"))
+    return bm25(spark, d, 30).select("q", "unit", F.expr("unit div 3").alias("page"), F.expr("unit div 4").alias("parent"), "score", F.col("rank").cast("long").alias("rank"))
 
 
 @registered(HITS + """, b AS (SELECT q, page, arg_min(unit, rank) AS unit, max(score) AS score, min(rank) AS first FROM h GROUP BY q, page),
@@ -221,7 +235,7 @@ pq AS (SELECT qs.q, doc, lang, level, CAST(n_gold AS INTEGER) AS n_groups, coale
 
 
 def _per_question(spark, d):
-    hits = retrieval.bm25(units(spark, d), asked(spark, d), 50).select(F.lit("bm25").alias("retriever"), "q", F.col("rank").cast("int").alias("rank"), F.col("unit").cast("int").alias("page"))
+    hits = bm25(spark, d, 50).select(F.lit("bm25").alias("retriever"), "q", F.col("rank").cast("int").alias("rank"), F.col("unit").cast("int").alias("page"))
     return evaluation.per_question(hits, gold_questions(spark, d).withColumn("retriever", F.lit("bm25")))
 
 

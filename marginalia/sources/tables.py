@@ -88,6 +88,8 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A CSV with a header in UTF-8, with or without a byte-order mark, or in GBK: a replacement character in the UTF-8 reading decides."""
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")  # GBK is not among the encodings that Spark takes otherwise
+
     def read(encoding: str) -> DataFrame:
         return spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("encoding", encoding).csv(path)
 
