@@ -61,16 +61,16 @@ def test_index_is_made_anew_for_other_texts(spark, tmp_path):
 
 
 def test_ingest(spark, tmp_path):
-    rows = [("d", n, f"Head\nPage {n} says something here about cats. It goes on for a while.\nFoot") for n in (1, 2, 3, 4)] + [("d", 5, None), ("e", 1, None), ("e", 2, " ")]
+    rows = [("d", n, f"Head\nPage {n} says something here about cats. It goes on for a while.\nFoot") for n in (1, 2, 3, 4, 6)] + [("d", 5, None), ("e", 1, None), ("e", 2, " ")]
     pages = spark.createDataFrame(rows, "doc_id string, page_no int, text_raw string")
     path = str(tmp_path / "store")
     found = {r.doc_id: (r.num_pages, r.num_chunks, r.language, r.ocr_required, r.error) for r in ingest.ingested(pages, path).collect()}
-    assert found == {"d": (5, 4, "en", False, None), "e": (2, 0, None, True, "no text found in this scan")}
+    assert found == {"d": (6, 5, "en", False, None), "e": (2, 0, None, True, "no text found in this scan")}
     kept = store.current(spark, path, "chunks", tables.CHUNK).collect()
-    assert len(kept) == 4 and not any("Head" in r.text or "Foot" in r.text for r in kept)
-    assert store.current(spark, path, "children", ingest.CHILD).count() == 4
-    ingest.ingested(pages, path, most=4)
-    assert store.current(spark, path, "pages", tables.PAGE).count() == 4 == store.current(spark, path, "chunks", tables.CHUNK).count()
+    assert len(kept) == 5 and not any("Head" in r.text or "Foot" in r.text for r in kept)
+    assert store.current(spark, path, "children", ingest.CHILD).count() == 5
+    ingest.ingested(pages, path, most=5)
+    assert store.current(spark, path, "pages", tables.PAGE).count() == 5 and store.current(spark, path, "chunks", tables.CHUNK).count() == 4
     read = spark.createDataFrame([("e", 1, "read")], "doc_id string, page_no int, text_raw string")
     assert {(r.page_no, r.text_raw) for r in ingest.with_ocr(pages.where("doc_id = 'e'"), read).collect()} == {(1, "read"), (2, " ")}
 
