@@ -42,3 +42,39 @@ def test_decontamination(spark, tmp_path):
     ]
     after = corpus_pipeline.decontamination_stage(spark, table(spark, tmp_path, rows), str(tmp_path))
     assert sources(after) == sorted(["same id", "null clean", "nothing", "clean", "clean", "no text"])
+
+
+def odd_folder(spark, folder, rows):
+    """Documents with columns whose names clash with those inside, labels and a benchmark."""
+    from pyspark.sql import functions as F
+
+    docs = table(spark, folder, rows).withColumns({"row": F.lit(1), "hash": F.lit("x"), "node": F.lit(2), "length": F.lit("y"), "_rid2": F.lit(0)})
+    spark.createDataFrame([(i, i % 2, 0) for i in range(1, 5)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(0, words(0, 12)), (1, None), (None, "")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return docs
+
+
+def test_every_stage_takes_odd_rows(spark, tmp_path):
+    long = words(0, 30_000)
+    rows = [(1, words(7000), "a"), (2, "!!! ### !!!", "b"), (3, f"mail a.b@c.org {words(8000)}", "c"), (4, "b b b b b b b b", "d"), (None, None, "e"), (None, "", "f"), (5, " ", "g"), (6, long, "h"), (6, long, "i"), (1, words(9000), "j")]
+    docs = odd_folder(spark, tmp_path, rows)
+    for name, stage in corpus_pipeline.STAGES:
+        after = stage(spark, docs, str(tmp_path))
+        found = after.collect()
+        if name != "packing":
+            assert after.columns == docs.columns, name
+            assert {r.source for r in found} <= {s for _, _, s in rows}, name
+        if name == "near_dedup":
+            assert sources(after) == sorted("abcdefghj")
+        if name == "decontamination":
+            assert sources(after) == sorted("abcdefgj")
+        if name == "pii":
+            assert sources(after) == sorted("abcdefghij") and [r.text for r in found if r.source == "c"] == [f"mail [EMAIL] {words(8000)}"]
+        if name == "packing":
+            assert sum(r.piece == 0 for r in found) == len(rows)
+
+
+def test_every_stage_takes_an_empty_table(spark, tmp_path):
+    docs = odd_folder(spark, tmp_path, [])
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, str(tmp_path)).count() == 0, name
