@@ -118,6 +118,12 @@ def history(messages: DataFrame, n: int = 6, most: int = 500) -> DataFrame:
     return last.groupBy("conv_id").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("history"))
 
 
+def history_from(messages: DataFrame, seen: Column) -> DataFrame:
+    """The messages (conv_id, turn, …) of each thread after the first ``seen`` ones."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    return messages.withColumn("_i", F.row_number().over(w)).where(F.col("_i") > seen).drop("_i")
+
+
 def fold_due(messages: DataFrame, upto: Column, keep: int = 4, least: int = 8) -> DataFrame:
     """(conv_id, n, fold): whether enough unsummarised messages lie behind the last few."""
     return messages.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).withColumn("fold", F.col("n") - keep - upto >= least)

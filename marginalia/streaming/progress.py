@@ -87,6 +87,21 @@ def accepted_answers(resumes: DataFrame) -> DataFrame:
     return resumes.groupBy("thread", "pause").agg(F.min_by(F.struct(*rest), F.struct("ts", *[c for c in rest if c != "ts"])).alias("_r")).select("thread", "pause", "_r.*")
 
 
+def thread_states(events: DataFrame) -> DataFrame:
+    """(thread, n, pauses, last, awaiting) of thread events (thread, event_id, ts, kind): a thread awaits an answer while its last pause is newer than
+    each resume and end. One grouped fold: as a stream its state lies in the checkpoint, so a restart goes on where the last one stopped."""
+    at, kind = F.struct("ts", "event_id"), F.col("kind")
+    told = events.groupBy("thread").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count(F.when(kind == "pause", 1)).alias("pauses"),
+        F.max(F.struct("ts", "event_id", "kind")).alias("last"),
+        F.max(F.when(kind == "pause", at)).alias("paused"),
+        F.max(F.when(kind.isin("resume", "done"), at)).alias("went"),
+    )
+    waits = F.col("paused").isNotNull() & (F.col("went").isNull() | (F.col("paused") > F.col("went")))
+    return told.select("thread", "n", "pauses", F.col("last.kind").alias("last"), waits.alias("awaiting"))
+
+
 def run_to_end(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
     """Drive a stream over what is there now and return its last result as a table on disk; no rows pass through the driver."""
     spark, path = stream.sparkSession, store.workspace(stream.sparkSession, name)
