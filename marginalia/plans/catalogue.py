@@ -24,7 +24,7 @@ def registered(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    from . import job_queries, model_queries, retrieval_queries, study_queries, text_queries  # noqa: F401  they register themselves
+    from . import job_queries, model_queries, retrieval_queries, retriever_queries, study_queries, text_queries  # noqa: F401  they register themselves
 
     return dict(QUERIES)
 
