@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 
+#: Folders of an index table by hash of the term: a few questions read only the folders of their terms.
+BUCKETS = 32
+
 
 def tokenised(units: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     """(scope, unit, toks, len[, extra]) of units (scope, unit, text); units without tokens keep length 0."""
@@ -80,13 +83,27 @@ def fingerprints(units: DataFrame) -> DataFrame:
     return units.groupBy("scope").agg(F.count(F.lit(1)).alias("items"), F.sha1(F.concat_ws(":", F.count(F.lit(1)), F.sum(h))).alias("fingerprint"))
 
 
+def bucketed(terms: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """Rows with their term's ``bucket``, the folder that an index of as many buckets keeps the term in."""
+    return terms.withColumn("bucket", F.pmod(F.xxhash64("scope", "term"), F.lit(buckets)).cast("int"))
+
+
+def keys_of(table: DataFrame, terms: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Terms as an index table is joined with them, and the join's columns: by bucket too where the table has any, so that a scan skips the other folders."""
+    if "bucket" not in table.columns:
+        return terms, ["scope", "term"]
+    return bucketed(terms).where("term <> ''"), ["bucket", "scope", "term"]
+
+
 def written(units: DataFrame, path: str, k1: float = 1.5, b: float = 0.75) -> None:
-    """Write the index of units (scope, unit, text): BM25 weights, TF-IDF rows and idf, dealt by term; the fingerprint comes last and makes it valid."""
+    """Write the index of units (scope, unit, text): BM25 weights, TF-IDF rows and idf, in folders by hash of the term; the fingerprint comes last and
+    makes it valid. Adaptive execution cuts a folder's rows into files of its advisory size, so a common term is not one task."""
     tokens = tokenised(units)
     weights, idf = tfidf_tables(units)
     parts = {"bm25": bm25_weights(postings(tokens), statistics(tokens), k1, b), "tfidf": weights, "idf": idf}
     for name, df in parts.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
+        dealt = bucketed(df).hint("rebalance", "bucket").sortWithinPartitions("bucket", "scope", "term")
+        dealt.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("bucket").parquet(f"{path}/{name}")
     fingerprints(units).write.mode("overwrite").parquet(f"{path}/meta")
 
 
@@ -97,7 +114,10 @@ def opened(units: DataFrame, path: str, scan: DataFrame | None = None) -> dict[s
     there = place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
     if not there or stale(spark.read.parquet(f"{path}/meta"), fingerprints(units if scan is None else scan)).take(1):
         written(units, path)
-    return {name: spark.read.parquet(f"{path}/{name}") for name in ("bm25", "tfidf", "idf", "meta")}
+    scope, unit = (units.schema[c].dataType.simpleString() for c in ("scope", "unit"))
+    rows = f"scope {scope}, term string, unit {unit}, w double, bucket int"  # named, since an index of no units has no files to tell it
+    schemas = {"bm25": rows, "tfidf": rows, "idf": f"scope {scope}, term string, df long, idf double, bucket int"}
+    return {name: spark.read.schema(schema).parquet(f"{path}/{name}") for name, schema in schemas.items()} | {"meta": spark.read.parquet(f"{path}/meta")}
 
 
 def forgotten(spark, path: str) -> None:

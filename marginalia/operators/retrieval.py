@@ -36,7 +36,8 @@ def question_terms(questions: DataFrame) -> DataFrame:
 
 def bm25_hits(weights: DataFrame, questions: DataFrame) -> DataFrame:
     """(q, unit, score) > 0 of an index of BM25 weights (scope, term, unit, w): one join and one sum."""
-    return weights.join(question_terms(questions), ["scope", "term"]).groupBy("q", "unit").agg(F.sum("w").alias("score")).where("score > 0")
+    terms, keys = index.keys_of(weights, question_terms(questions))
+    return weights.join(terms, keys).groupBy("q", "unit").agg(F.sum("w").alias("score")).where("score > 0")
 
 
 def bm25_scores(units: DataFrame, questions: DataFrame) -> DataFrame:
@@ -55,9 +56,11 @@ def bm25(units: DataFrame, questions: DataFrame, k: int = 10) -> DataFrame:
 def tfidf_hits(weights: DataFrame, idf: DataFrame, questions: DataFrame, char_mode: bool = False) -> DataFrame:
     """(q, unit, score) > 0: cosine of questions with the rows of an index (scope, unit, term, w). Terms that the index lacks are ignored."""
     asked = index.spread_grams(questions, "q", char_mode).groupBy("scope", "unit", "term").agg(F.count(F.lit(1)).alias("tf"))
-    query = asked.join(idf, ["scope", "term"]).select("scope", F.col("unit").alias("q"), "term", (F.col("tf") * F.col("idf")).alias("qraw"))
+    terms, keys = index.keys_of(idf, asked)
+    query = terms.join(idf, keys).select("scope", F.col("unit").alias("q"), "term", (F.col("tf") * F.col("idf")).alias("qraw"))
     norms = query.groupBy("q").agg(F.sqrt(F.sum(F.col("qraw") * F.col("qraw"))).alias("qnorm"))
-    sums = weights.join(query, ["scope", "term"]).groupBy("q", "unit").agg(F.sum(F.col("w") * F.col("qraw")).alias("s"))
+    terms, keys = index.keys_of(weights, query)
+    sums = weights.join(terms, keys).groupBy("q", "unit").agg(F.sum(F.col("w") * F.col("qraw")).alias("s"))
     return sums.join(norms, "q").select("q", "unit", (F.col("s") / F.col("qnorm")).alias("score")).where("score > 0")
 
 

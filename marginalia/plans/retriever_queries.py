@@ -12,7 +12,7 @@ from .catalogue import registered
 from .retrieval_queries import BM25, ITEM_DENSE, RRF, TFIDF, asked, built, item_vectors, units
 
 NAMES = {"tfidf_raw": "tr", "bm25_raw": "bmr", "bge_m3_dense": "dnr", "hybrid_rrf": "fr"}
-PAGES = " UNION ALL ".join(f"SELECT '{name}' AS retriever, q, unit, unit // 3 AS page, score, rank FROM {hits} WHERE rank <= 15" for name, hits in NAMES.items())
+PAGES = " UNION ALL ".join(f"SELECT '{name}' AS retriever, q, unit, unit // 3 AS page, score, rank FROM {hits} WHERE rank <= 15 AND unit IN (SELECT doc_id FROM documents)" for name, hits in NAMES.items())
 
 
 @registered(f"""WITH {BM25}, {TFIDF}, {ITEM_DENSE}, {RRF}, h AS ({PAGES}),
@@ -20,7 +20,7 @@ b AS (SELECT retriever, q, page, arg_min(unit, rank) AS unit, max(score) AS scor
 r AS (SELECT *, row_number() OVER (PARTITION BY retriever, q ORDER BY first) AS rank FROM b)
 SELECT retriever, q, page, unit, round(score, 4) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5""")
 def retriever_rows(spark, d):
-    """The five best pages of every question by each retriever that needs no language model."""
+    """The five best pages of every question by each retriever that needs no language model; vectors of no document are dropped after the search."""
     vectors, queries = item_vectors(spark, d)
     docs = units(spark, d).withColumn("page", F.expr("unit div 3"))
     corpora = {None: retrievers.Corpus(docs, built(spark, d), vectors)}

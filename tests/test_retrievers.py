@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from marginalia.operators import index, retrievers
+from marginalia.operators import index, retrieval, retrievers
 
 TEXTS = ["heaps are trees", "queues hold items", "a heap keeps its least item first", "graphs have edges", "edges join nodes of graphs"]
 
@@ -32,6 +32,21 @@ def test_every_retriever(spark, tmp_path):
     assert retrievers.retriever_for("other", corpora, encode) is None
 
 
+def test_folders_of_terms(spark, tmp_path):
+    units = spark.createDataFrame([("d", i, t) for i, t in enumerate(TEXTS)], "scope string, unit int, text string")
+    index.written(units, str(tmp_path / "some"))
+    tables = index.opened(units, str(tmp_path / "some"))
+    questions = spark.createDataFrame([(7, "d", "graphs edges")], "q int, scope string, text string")
+    plain, dealt = retrieval.bm25_scores(units, questions), retrieval.bm25_hits(tables["bm25"], questions)
+    assert sorted((r.unit, round(r.score, 9)) for r in dealt.collect()) == sorted((r.unit, round(r.score, 9)) for r in plain.collect())
+    assert "dynamicpruning" in dealt._jdf.queryExecution().toString()
+    plain, dealt = retrieval.tfidf_scores(units, questions), retrieval.tfidf_hits(tables["tfidf"], tables["idf"], questions)
+    assert sorted((r.unit, round(r.score, 9)) for r in dealt.collect()) == sorted((r.unit, round(r.score, 9)) for r in plain.collect())
+    none = units.limit(0)
+    index.written(none, str(tmp_path / "none"))
+    assert retrieval.bm25_hits(index.opened(none, str(tmp_path / "none"))["bm25"], questions).collect() == []
+
+
 def test_encoder(spark):
     seen = lambda: lambda texts: np.array([[len(t.split()), 0.0] for t in texts])
     rows = spark.createDataFrame([(0, "w " * 600), (1, None), (2, "")], "id int, text string")
