@@ -17,7 +17,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..shipping import ship  # noqa: F401  the operators call it from here
+from ..shipping import bounded_batches, lean, ship  # noqa: F401  the operators call them from here
 
 _OWN_ROOT: dict[str, str] = {}
 _WRITTEN: dict[str, str] = {}
@@ -65,36 +65,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most 8 MB in this session, instead of 64: a batch is held several times over, in the JVM and in its worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
-
-
-def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """An Arrow function whose worker gives memory back when its task ends: workers are used again, and what one held would stay."""
-
-    def wrapped(batches: Iterator) -> Iterator:
-        try:
-            yield from run(batches)
-        finally:
-            _given_back()
-
-    return wrapped
-
-
-def _given_back() -> None:
-    import ctypes
-    import gc
-
-    import pyarrow as pa
-
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-
-
 def sieve(hashes: DataFrame, column: str) -> Callable[[Column], Column]:
     """A test that every hash in a long column of a stored table passes, and few others: one bit per hash in an array of bounded size.
 

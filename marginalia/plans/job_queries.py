@@ -12,7 +12,7 @@ from ..sources import store, tables
 from ..sources.tables import table
 from ..streaming import progress
 from .catalogue import registered
-from .retrieval_queries import ANSWERS, BM25, HITS, PERQ, SHOWN, _hits, _per_question, answers, asked, bm25, shown, units
+from .retrieval_queries import ANSWERS, BM25, HITS, PERQ, SHOWN, _hits, _per_question, answers, asked, ranked_pages, shown, units
 from .text_queries import _toc, pages
 
 
@@ -178,8 +178,8 @@ SELECT 'bm25' AS retriever, pq.q, doc, lang, level, n_groups, """ + ", ".join(f"
 """ + ", ".join(f'CASE WHEN n_groups > 0 THEN CASE WHEN "{c}" BETWEEN 1 AND {k} THEN 1 ELSE 0 END END AS {n}_{k}' for c, n in (("first", "hit"), ("full", "full")) for k in evaluation.KS) + """,
 CASE WHEN n_groups > 0 THEN CASE WHEN first > 0 THEN round(1.0::DOUBLE / first, 4) ELSE 0 END END AS rr, CASE WHEN nothing THEN 1 ELSE 0 END AS nothing FROM pq LEFT JOIN t ON t.q = pq.q""")
 def question_rows(spark, d):
-    hits = bm25(spark, d, 50).select(F.lit("bm25").alias("retriever"), "q", F.col("rank").cast("int").alias("rank"), F.col("unit").cast("int").alias("page"))
-    return evaluation.question_rows(_per_question(spark, d), hits)
+    hits = ranked_pages(spark, d)
+    return evaluation.question_rows(_per_question(spark, d, hits), hits)
 
 
 @registered(HITS + """ SELECT q, page, rank, CASE WHEN page = q % 11 OR page = (q + 3) % 11 OR page = 1 THEN 1 ELSE 0 END AS is_gold FROM h WHERE rank <= 5""")

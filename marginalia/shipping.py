@@ -1,12 +1,14 @@
-"""Shipping this package to executors."""
+"""Shipping this package to executors, and what Arrow functions hold there."""
 
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import shutil
 import tempfile
 import zipfile
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import SparkSession
 
@@ -31,3 +33,33 @@ def ship(spark: SparkSession | None = None) -> None:
     spark.sparkContext.addPyFile(target)
     atexit.register(shutil.rmtree, folder, ignore_errors=True)
     _SHIPPED.add(app)
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 8 MB in this session, instead of 64: a batch is held several times over, in the JVM and in its worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """An Arrow function whose worker gives memory back when its task ends: workers are used again, and what one held would stay."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            _given_back()
+
+    return wrapped
+
+
+def _given_back() -> None:
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +32,13 @@ def workspace(spark: SparkSession, name: str) -> str:
     return os.path.join(_OWN[app], name)
 
 
+def scratch(df: DataFrame, name: str) -> DataFrame:
+    """Write rows as a table of this application and read it back: later passes don't make them again."""
+    path = workspace(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _there(spark: SparkSession, path: str) -> bool:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)

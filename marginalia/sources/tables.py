@@ -16,9 +16,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def parallel(df: DataFrame) -> DataFrame:
-    """Deal a scan of fewer splits than cores to all cores; a larger one stays as it is, without a shuffle."""
+    """Deal a scan of far fewer splits than cores to all cores; a larger one stays as it is, since a shuffle of whole texts costs more disk than idle cores cost time."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 < cores else df
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
