@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import shipping
+
 SECTION_CHARS, CARD_BATCH, CARD_RETRY = 12_000, 8, 4
 
 
@@ -22,29 +28,74 @@ def toc_ranges(entries: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def paged_ranges(pages: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Pages with the range that holds them: an equi-join on the document with a range condition, not a nested loop."""
-    return pages.join(ranges, "doc_id").where(F.col("page_no").between(F.col("start"), F.col("end")))
+    """Pages with each range that holds them. A sweep over a document's range starts and page numbers finds them, and holds the open ranges only; other columns are joined then."""
+    spark = shipping.arrow(pages.sparkSession)
+    page, start = pages.schema["page_no"].dataType.simpleString(), ranges.schema["start"].dataType.simpleString()
+    end = ranges.schema["end"].dataType.simpleString()
+    spans = ranges.where("start <= end").groupBy("doc_id", F.col("start").cast("long").alias("at")).agg(F.collect_set(F.col("end").cast("long")).alias("ends"))
+    numbers = pages.select("doc_id", F.col("page_no").cast("long").alias("at")).distinct().where("at is not null").withColumn("ends", F.lit(None).cast("array<long>"))
+    events = spans.unionByName(numbers).where("doc_id is not null").repartition("doc_id").sortWithinPartitions("doc_id", "at", F.col("ends").isNull())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, live = None, []
+        for batch in batches:
+            rows = []
+            for key, at, ends in zip(*(batch[c].to_pylist() for c in ("doc_id", "at", "ends")), strict=True):
+                if key != doc:
+                    doc, live = key, []
+                while live and live[0][0] < at:
+                    heapq.heappop(live)
+                if ends is None:
+                    rows += [(key, at, first, last) for last, first in live]
+                else:
+                    for last in ends:
+                        heapq.heappush(live, (last, at))
+            columns = zip(*rows, strict=True) if rows else ([],) * 4
+            kinds = (batch.schema.field("doc_id").type, pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "page_no", "start", "end"])
+
+    doc_type = pages.schema["doc_id"].dataType.simpleString()
+    found = events.mapInArrow(shipping.lean(run), f"doc_id {doc_type}, page_no long, start long, end long")
+    held = found.select("doc_id", F.col("page_no").cast(page).alias("page_no"), F.col("start").cast(start).alias("start"), F.col("end").cast(end).alias("end"))
+    if set(pages.columns) != {"doc_id", "page_no"}:
+        held = pages.join(held, ["doc_id", "page_no"])
+    else:
+        copies = pages.groupBy("doc_id", "page_no").agg(F.count(F.lit(1)).alias("_n"))
+        held = held.join(copies, ["doc_id", "page_no"]).withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), "_n"))).drop("_n", "_i")
+    more = [c for c in ranges.columns if c not in ("doc_id", "start", "end")]
+    return held.join(ranges, ["doc_id", "start", "end"]).select(*pages.columns, "start", "end", *more)
 
 
 def windows(pages: DataFrame, most: int = SECTION_CHARS) -> DataFrame:
     """(doc_id, part, start, end): greedy runs of consecutive pages of at most ``most`` characters; no page is split.
 
-    A fold over each document's (page, size) array; texts stay out of it.
+    One pass over each document's sorted (page, size) rows, which holds the open run only; texts stay out of it. A page without a size is a run of its own.
     """
-    ordered = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_no", F.length("text").alias("size")))).alias("p"))
-    empty = F.array().cast("array<struct<part:int,start:int,end:int>>")
-
-    def step(a, x):
-        fits = (a["load"] > -1) & (a["load"] + x["size"] <= most)
-        part = F.when(fits, a["part"]).otherwise(a["part"] + 1)
-        return F.struct(
-            part.alias("part"),
-            F.when(fits, a["load"] + x["size"]).otherwise(x["size"]).alias("load"),
-            F.concat(a["rows"], F.array(F.struct(part.alias("part"), x["page_no"].alias("start"), x["page_no"].alias("end")))).alias("rows"),
-        )
-
-    folded = F.aggregate("p", F.struct(F.lit(0).alias("part"), F.lit(-1).alias("load"), empty.alias("rows")), step, lambda a: a["rows"])
-    return ordered.select("doc_id", F.explode(folded).alias("r")).groupBy("doc_id", "r.part").agg(F.min("r.start").alias("start"), F.max("r.end").alias("end"))
+    shipping.arrow(pages.sparkSession)
+    page, doc_type = (pages.schema[c].dataType.simpleString() for c in ("page_no", "doc_id"))
+    sized = pages.select("doc_id", "page_no", F.length("text").alias("size")).repartition("doc_id").sortWithinPartitions("doc_id", "page_no", "size")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, part, load, first, last, kinds = None, 0, None, None, None, None
+        for batch in batches:
+            kinds, rows = [batch.schema.field("doc_id").type, pa.int32(), *[batch.schema.field("page_no").type] * 2], []
+            for key, at, size in zip(*(batch[c].to_pylist() for c in ("doc_id", "page_no", "size")), strict=True):
+                new = key != doc or not part
+                if new or load is None or size is None or load + size > most:
+                    if part:
+                        rows.append((doc, part, first, last))
+                    doc, part, load, first, last = key, 1 if new else part + 1, size, at, at
+                else:
+                    load, first, last = load + size, at if first is None else first, at
+            yield made(rows, kinds)
+        if part:
+            yield made([(doc, part, first, last)], kinds)
+
+    def made(rows: list[tuple], kinds: list[pa.DataType]) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True) if rows else ([],) * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "part", "start", "end"])
+
+    return sized.mapInArrow(shipping.lean(run), f"doc_id {doc_type}, part int, start {page}, end {page}")
 
 
 def batches(rows: DataFrame, key: str, order: str, size: int = CARD_BATCH) -> DataFrame:
