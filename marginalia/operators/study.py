@@ -87,11 +87,12 @@ def recent(rows: DataFrame, key: str, order: str, n: int = 8) -> DataFrame:
 
 
 def merged_context(old: DataFrame, fresh: DataFrame, cap: int = 5) -> DataFrame:
-    """Old and new chunks (q, unit, pos): new ones that are not old come last, and old ones make room from their end."""
-    new = fresh.join(old.select("q", "unit"), ["q", "unit"], "left_anti")
-    n_new = new.groupBy("q").agg(F.count(F.lit(1)).alias("n_new"))
-    room = old.join(n_new, "q", "left").where(F.col("pos") < F.greatest(F.lit(0), F.lit(cap) - F.coalesce("n_new", F.lit(0))))
-    both = room.select("q", "unit", F.lit(0).alias("_s"), "pos").unionByName(new.select("q", "unit", F.lit(1).alias("_s"), "pos"))
+    """Old and new chunks (q, unit, pos): new ones that are not old come last, and old ones make room from their end. One shuffle, by question."""
+    both = old.select("q", "unit", F.lit(0).alias("_s"), "pos").unionByName(fresh.select("q", "unit", F.lit(1).alias("_s"), "pos")).repartition("q")
+    known = (F.min("_s").over(Window.partitionBy("q", "unit")) == 0) & F.col("q").isNotNull() & F.col("unit").isNotNull()
+    left = both.withColumn("_known", known).where((F.col("_s") == 0) | ~F.col("_known"))
+    n_new = F.when(F.col("q").isNull(), 0).otherwise(F.sum("_s").over(Window.partitionBy("q")))
+    both = left.withColumn("_new", n_new).where((F.col("_s") == 1) | (F.col("pos") < F.greatest(F.lit(0), F.lit(cap) - F.col("_new")))).drop("_known", "_new")
     return both.withColumn("pos", F.row_number().over(Window.partitionBy("q").orderBy("_s", "pos")) - 1).drop("_s")
 
 
