@@ -30,12 +30,15 @@ def repeated_lines(pages: DataFrame, ratio: float = 0.6, min_len: int = 3) -> Da
     )
 
 
-def without_repeated_lines(pages: DataFrame, ratio: float = 0.6, min_len: int = 3) -> DataFrame:
-    """Pages without their document's repeated lines, wherever on the page they stand; line order is kept. A null text is an empty page."""
-    drop = repeated_lines(pages, ratio, min_len).select("doc_id", "key").withColumn("_drop", F.lit(True))
-    lines = pages.select("doc_id", "page_no", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("at", "line")).withColumn("key", tx.line_key(F.col("line")))
-    left = lines.join(drop, ["doc_id", "key"], "left").groupBy("doc_id", "page_no").agg(F.array_sort(F.collect_list(F.when(F.col("_drop").isNull(), F.struct("at", "line")))).alias("l"))
-    return left.select("doc_id", "page_no", tx.stripped(F.array_join(F.transform("l", lambda x: x["line"]), "\n")).alias("text"))
+def without_repeated_lines(pages: DataFrame, ratio: float = 0.6, min_len: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Pages without their document's repeated lines, wherever on the page they stand; line order is kept. A null text is an empty page.
+
+    A document has few of them, at most 8 / ``ratio`` or those of 1 / ``ratio`` pages: pages get them as one array, and their lines are never rows.
+    """
+    drop = repeated_lines(pages, ratio, min_len).groupBy("doc_id").agg(F.collect_set("key").alias("_drop"))
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    left = F.filter(lines, lambda x: ~F.coalesce(F.array_contains("_drop", tx.line_key(x)), F.lit(False)))
+    return pages.join(drop, "doc_id", "left").select("doc_id", "page_no", *keep, tx.stripped(F.array_join(left, "\n")).alias("text"))
 
 
 def needs_ocr(pages: DataFrame, min_chars: int = 30, ratio: float = 0.6) -> DataFrame:
@@ -47,10 +50,11 @@ def needs_ocr(pages: DataFrame, min_chars: int = 30, ratio: float = 0.6) -> Data
 def document_language(pages: DataFrame, sample: int = 5, min_chars: int = 50, seed: int = 0) -> DataFrame:
     """(doc_id, lang): a vote of sampled pages with enough text, else of any non-blank ones; ties are ``en``."""
     size = F.length(tx.stripped(F.coalesce("text", F.lit(""))))
-    order = Window.partitionBy("doc_id").orderBy(F.desc(size >= min_chars), F.xxhash64("page_no", F.lit(seed)))
-    full = F.max(size >= min_chars).over(Window.partitionBy("doc_id"))
-    chosen = pages.where(size > 0).withColumn("_full", full).where(~F.col("_full") | (size >= min_chars)).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= sample)
-    return chosen.groupBy("doc_id").agg(F.when(F.avg(tx.is_zh_page(F.col("text")).cast("int")) > 0.5, "zh").otherwise("en").alias("lang"))
+    told = pages.where(size > 0).select("doc_id", "page_no", (size >= min_chars).alias("full"), tx.is_zh_page(F.col("text")).cast("int").alias("zh"))  # no text in the shuffle
+    order = Window.partitionBy("doc_id").orderBy(F.desc("full"), F.xxhash64("page_no", F.lit(seed)))
+    chosen = told.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= sample)
+    votes = F.when(F.max("full"), F.avg(F.when(F.col("full"), F.col("zh")))).otherwise(F.avg("zh"))  # pages with enough text come first, so one is chosen if there is any
+    return chosen.groupBy("doc_id").agg(F.when(votes > 0.5, "zh").otherwise("en").alias("lang"))
 
 
 def noise_changes(chunks: DataFrame, min_chars: int = 3) -> DataFrame:

@@ -26,8 +26,7 @@ def with_ocr(pages: DataFrame, read: DataFrame) -> DataFrame:
 def cleaned(pages: DataFrame) -> DataFrame:
     """(doc_id, page_no, text_raw, text_clean): cleaning rules, then repeated lines of the document removed."""
     ruled = pages.select("doc_id", "page_no", "text_raw", tx.clean_page(udfs.nfkc("text_raw")).alias("text"))
-    bare = cleaning.without_repeated_lines(ruled.select("doc_id", "page_no", "text")).withColumnRenamed("text", "text_clean")
-    return ruled.drop("text").join(bare, ["doc_id", "page_no"])
+    return cleaning.without_repeated_lines(ruled, keep=("text_raw",)).withColumnRenamed("text", "text_clean")
 
 
 def scan_error(language: Column, scan: Column) -> Column:
@@ -53,7 +52,7 @@ def ingested(pages: DataFrame, path: str, words: int = 150, overlap: int = 0, mo
     spark = pages.sparkSession
     work = f"{path}/_work"
     kept = truncated(pages, most)
-    langs = cleaning.document_language(kept.select("doc_id", "page_no", F.col("text_raw").alias("text")))
+    langs = store.scratch(cleaning.document_language(kept.select("doc_id", "page_no", F.col("text_raw").alias("text"))), "langs")  # small, and joined with all texts
     cleaned(kept).write.mode("overwrite").parquet(f"{work}/pages")
     clean = spark.read.parquet(f"{work}/pages")
     readable = clean.join(langs, "doc_id")
