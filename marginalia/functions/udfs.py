@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -61,24 +62,38 @@ def words_in(sentence: str, lang: str) -> int:
     return len(sentence.split())
 
 
-def _nfkc(texts: pd.Series) -> pd.Series:
+def _hinted(run, batch: type):
+    """An iterator function with real types as hints: by them Pandas functions are told apart."""
+    run.__annotations__ = {"batches": Iterator[batch], "return": Iterator[pd.Series]}
+    return run
+
+
+def _nfkc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    yield from shipping.lean(lambda found: map(_nfkc_batch, found))(batches)
+
+
+def _nfkc_batch(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
 def nfkc(text: Column | str) -> Column:
     """Compatibility normalisation; null stays null."""
-    shipping.ship()
-    return F.pandas_udf(_nfkc, "string")(text)
+    shipping.arrow()
+    return F.pandas_udf(_hinted(_nfkc, pd.Series), "string")(text)
+
+
+def _sentence_split(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    yield from shipping.lean(lambda found: (_sentence_batch(*x) for x in found))(batches)
 
 
-def _sentence_split(texts: pd.Series, langs: pd.Series) -> pd.Series:
+def _sentence_batch(texts: pd.Series, langs: pd.Series) -> pd.Series:
     return pd.Series([sentences(t, g) for t, g in zip(texts, langs, strict=True)])
 
 
 def sentence_split(text: Column | str, lang: Column | str) -> Column:
     """Sentences of each text by its language; null has none."""
-    shipping.ship()
-    return F.pandas_udf(_sentence_split, "array<string>")(text, lang)
+    shipping.arrow()
+    return F.pandas_udf(_hinted(_sentence_split, tuple[pd.Series, pd.Series]), "array<string>")(text, lang)
 
 
 def salvaged(text: str | None) -> dict | None:
@@ -108,5 +123,5 @@ def _salvage_json(texts: pd.Series) -> pd.Series:
 
 def salvage_json(text: Column | str) -> Column:
     """The object in a model's reply as JSON text with sorted keys, or null."""
-    shipping.ship()
+    shipping.arrow()
     return F.pandas_udf(_salvage_json, "string")(text)

@@ -77,8 +77,8 @@ def parents(pages: DataFrame, limit: int = PARENT_WORDS, carry: int = CARRY) ->
                     rows.append((f"{doc}:p{page}:c{i}", doc, page, i, ("" if lang == "zh" else " ").join(parts[k] for k in group)))
             yield pd.DataFrame(rows, columns=["chunk_id", "doc_id", "page_no", "chunk_index", "text"])
 
-    shipping.ship(pages.sparkSession)
-    return pages.select("doc_id", "page_no", "text", "lang").mapInPandas(run, "chunk_id string, doc_id string, page_no int, chunk_index int, text string")
+    shipping.arrow(pages.sparkSession)
+    return pages.select("doc_id", "page_no", "text", "lang").mapInPandas(shipping.lean(run), "chunk_id string, doc_id string, page_no int, chunk_index int, text string")
 
 
 def children(chunks: DataFrame, words: int = 150, overlap: int = 0) -> DataFrame:
@@ -94,6 +94,6 @@ def children(chunks: DataFrame, words: int = 150, overlap: int = 0) -> DataFrame
                     rows.append((f"{chunk}:w{unit}:k{i}", chunk, doc, page, i, ("" if lang == "zh" else " ").join(parts[a:b]), words, overlap))
             yield pd.DataFrame(rows, columns=["child_id", "parent_id", "doc_id", "page_no", "child_index", "text", "child_words", "child_overlap"])
 
-    shipping.ship(chunks.sparkSession)
+    shipping.arrow(chunks.sparkSession)
     schema = "child_id string, parent_id string, doc_id string, page_no int, child_index int, text string, child_words int, child_overlap int"
-    return chunks.select("chunk_id", "doc_id", "page_no", "text", "lang").mapInPandas(run, schema)
+    return chunks.select("chunk_id", "doc_id", "page_no", "text", "lang").mapInPandas(shipping.lean(run), schema)

@@ -104,7 +104,7 @@ def encoded(text: Column, load: Callable = letters, words: int = ENCODED_WORDS,
 
     Texts are cut after ``words`` words, before they reach Python. The encoder sees ``batch`` texts at a time.
     """
-    shipping.ship()
+    shipping.arrow()
 
     def run(texts: pd.Series) -> pd.Series:
         encode = loaded(load)

@@ -98,7 +98,7 @@ def replied(rows: DataFrame, step: str, model: Model | None = None, tries: int =
 
     The model sees whole Arrow batches; only rows without a usable reply are asked again.
     """
-    shipping.ship(rows.sparkSession)
+    shipping.arrow(rows.sparkSession)
     kind, call = T.DataType.fromDDL(STEPS[step].schema), model or extractive
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -110,6 +110,7 @@ def replied(rows: DataFrame, step: str, model: Model | None = None, tries: int =
                     done[left] = call(step, prompts[left]).map(lambda r: usable(r, kind))
             yield done
 
+    run = shipping.lean(run)
     # Pandas tells an iterator function by its hints, which must be real types here.
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return rows.withColumn("reply", F.from_json(F.pandas_udf(run, "string")("prompt"), STEPS[step].schema))

@@ -41,6 +41,14 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 
 
+def arrow(spark: SparkSession | None = None) -> SparkSession:
+    """What every Arrow function needs first: this package on the executors and small batches."""
+    spark = spark or SparkSession.active()
+    ship(spark)
+    bounded_batches(spark)
+    return spark
+
+
 def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """An Arrow function whose worker gives memory back when its task ends: workers are used again, and what one held would stay."""
 
