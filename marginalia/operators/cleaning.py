@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..sources import store
 
 
 def edge_lines(pages: DataFrame, top: int = 2, bottom: int = 2) -> DataFrame:
@@ -36,6 +37,7 @@ def without_repeated_lines(pages: DataFrame, ratio: float = 0.6, min_len: int =
     A document has few of them, at most 8 / ``ratio`` or those of 1 / ``ratio`` pages: pages get them as one array, and their lines are never rows.
     """
     drop = repeated_lines(pages, ratio, min_len).groupBy("doc_id").agg(F.collect_set("key").alias("_drop"))
+    drop = store.scratch(drop, "lines")  # its size is known then, and texts aren't shuffled for a small one
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
     left = F.filter(lines, lambda x: ~F.coalesce(F.array_contains("_drop", tx.line_key(x)), F.lit(False)))
     return pages.join(drop, "doc_id", "left").select("doc_id", "page_no", *keep, tx.stripped(F.array_join(left, "\n")).alias("text"))
