@@ -32,10 +32,10 @@ ENCODED_WORDS = 512
 
 
 class Corpus(NamedTuple):
-    """One set of units: (scope, unit, text, page), their index tables, and their vectors (unit, v)."""
+    """One set of units: (scope, unit, text, page), their index tables, or None where a large batch is to stream the texts instead, and their vectors (unit, v)."""
 
     units: DataFrame
-    tables: dict[str, DataFrame]
+    tables: dict[str, DataFrame] | None
     vectors: DataFrame
 
 
@@ -53,6 +53,8 @@ def parsed(name: str) -> tuple[str, str | None] | None:
 
 def _units(base: str, corpus: Corpus, encode: Encode, questions: DataFrame, k: int) -> DataFrame:
     def bm25(depth: int) -> DataFrame:
+        if corpus.tables is None:
+            return retrieval.bm25(corpus.units, questions, depth)
         return retrieval.top_k(retrieval.bm25_hits(corpus.tables["bm25"], questions), depth)
 
     def dense(depth: int) -> DataFrame:
@@ -60,6 +62,8 @@ def _units(base: str, corpus: Corpus, encode: Encode, questions: DataFrame, k: i
 
     if base == "tfidf_pipeline":
         return retrieval.tfidf_pipeline(corpus.units, questions, k).select("q", "unit", "score", "rank")
+    if base == "tfidf_raw" and corpus.tables is None:
+        return retrieval.tfidf(corpus.units, questions, k)
     if base == "tfidf_raw":
         return retrieval.top_k(retrieval.tfidf_hits(corpus.tables["tfidf"], corpus.tables["idf"], questions), k)
     if base == "bm25_raw":

@@ -61,3 +61,21 @@ def test_passages(spark):
     assert streamed.passages(units, asked.limit(0), 3).collect() == []
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan
+
+
+@pytest.mark.parametrize(("char_mode", "block", "frequent", "group"), [(False, 1024, 1 << 16, 1 << 23), (False, 2, 0, 3), (True, 3, 4, 5)])
+def test_tfidf_is_that_of_the_tables(spark, monkeypatch, char_mode, block, frequent, group):
+    for name, value in (("QUERIES", block), ("FREQUENT", frequent), ("GROUP", group)):
+        monkeypatch.setattr(streamed, name, value)
+    units, asked = frames(spark)
+    units = units.unionByName(spark.createDataFrame([("s", f"m{i}", f"heaps of {'trees ' * i} and 😀中文 {i} items") for i in range(6)], units.schema)).where("unit is not null")
+    rows = lambda df: sorted((r.q, r["rank"], r.unit, round(r.score, 9)) for r in df.collect())
+    want = rows(retrieval.top_k(retrieval.tfidf_scores(units, asked, char_mode), 3))
+    assert len(want) > 5 and rows(retrieval.tfidf(units.repartition(3), asked, 3, char_mode)) == want
+    assert retrieval.tfidf(units.limit(0), asked, 3, char_mode).collect() == []
+
+
+def test_tfidf_query_makes_no_index(spark, monkeypatch):
+    monkeypatch.setattr(rq.index, "written", lambda *a, **b: pytest.fail("an index of all terms"))
+    monkeypatch.setattr(rq.index, "tfidf_tables", lambda *a, **b: pytest.fail("a row for each gram of a unit"))
+    assert rq.tfidf_word_topk(spark, SF).count() and rq.tfidf_char_topk(spark, SF).count()
