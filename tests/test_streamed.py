@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from marginalia.operators import retrieval, streamed
 from marginalia.plans import retrieval_queries as rq
@@ -79,3 +80,17 @@ def test_tfidf_query_makes_no_index(spark, monkeypatch):
     monkeypatch.setattr(rq.index, "written", lambda *a, **b: pytest.fail("an index of all terms"))
     monkeypatch.setattr(rq.index, "tfidf_tables", lambda *a, **b: pytest.fail("a row for each gram of a unit"))
     assert rq.tfidf_word_topk(spark, SF).count() and rq.tfidf_char_topk(spark, SF).count()
+
+
+def test_mmr_makes_no_index(spark, monkeypatch):
+    """Candidates are reordered without a row for each gram of all units; equal texts are equal, blocks and odd rows change nothing."""
+    monkeypatch.setattr(rq.index, "tfidf_tables", lambda *a, **b: pytest.fail("a row for each gram of a unit"))
+    assert rq.mmr_pipeline(spark, SF).count()
+    units, asked = frames(spark)
+    units = units.unionByName(spark.createDataFrame([("s", f"m{i}", f"heaps of {'trees ' * (i % 4)} and items") for i in range(8)], units.schema)).withColumn("page", F.ascii("unit"))
+    rows = lambda mode: sorted(map(tuple, retrieval.tfidf_pipeline(units.repartition(3), asked, 2, mode).selectExpr("q", "rank", "unit", "page", "round(score, 9)").collect()))
+    whole = {mode: rows(mode) for mode in ("word", "char")}
+    assert {r[0] for r in whole["word"]} == {1, 2, 3} and all(r[2] is not None for r in whole["word"])
+    monkeypatch.setattr(streamed, "QUERIES", 2)
+    assert {mode: rows(mode) for mode in ("word", "char")} == whole
+    assert retrieval.tfidf_pipeline(units, asked.limit(0), 2).collect() == [] == retrieval.tfidf_pipeline(units.limit(0), asked, 2).collect()
