@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import shipping
 from ..functions import text as tx
 
 #: Folders of an index table by hash of the term: a few questions read only the folders of their terms.
 BUCKETS = 32
+#: Retrievers that an index has tables for, and words of the units of a shard of packed postings.
+KINDS, SHARD = ("bm25", "tfidf"), 1 << 18
 
 
 def tokenised(units: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -95,29 +104,92 @@ def keys_of(table: DataFrame, terms: DataFrame) -> tuple[DataFrame, list[str]]:
     return bucketed(terms).where("term <> ''"), ["bucket", "scope", "term"]
 
 
-def written(units: DataFrame, path: str, k1: float = 1.5, b: float = 0.75) -> None:
-    """Write the index of units (scope, unit, text): BM25 weights, TF-IDF rows and idf, in folders by hash of the term; the fingerprint comes last and
-    makes it valid. Adaptive execution cuts a folder's rows into files of its advisory size, so a common term is not one task."""
+def packed(units: DataFrame, k1: float, b: float) -> DataFrame:
+    """BM25 postings of units (scope, unit, text), a row for each term of a shard: (scope, term, shard, df, units, tfs, lens, n, avg_len, k1, b).
+
+    A shard is a run of a task's units, so postings are made where texts are read and are not shuffled; a search scores each shard by itself. ``df`` is
+    the term's units in the shard; ``n`` and ``avg_len`` are those of the whole scope. A unit without a key counts, but is never found.
+    """
+    spark = shipping.arrow(units.sparkSession)
     tokens = tokenised(units)
-    weights, idf = tfidf_tables(units)
-    parts = {"bm25": bm25_weights(postings(tokens), statistics(tokens), k1, b), "tfidf": weights, "idf": idf}
-    for name, df in parts.items():
-        dealt = bucketed(df).hint("rebalance", "bucket").sortWithinPartitions("bucket", "scope", "term")
-        dealt.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("bucket").parquet(f"{path}/{name}")
+    stats = spark.sparkContext.broadcast({r["scope"]: (r["n"], r["avg_len"]) for r in statistics(tokens).toLocalIterator()})
+
+    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+        held, words, made = [], 0, TaskContext.get().partitionId() << 32
+        for batch in batches:
+            sizes = np.cumsum(batch["toks"].value_lengths().to_numpy(zero_copy_only=False)) // SHARD
+            first = 0
+            for last in (*(np.flatnonzero(np.diff(sizes)) + 1), batch.num_rows):  # at most SHARD words and one unit
+                part = batch.slice(int(first), int(last - first))
+                held.append(part)
+                words, first = words + len(part["toks"].flatten()), last
+                if words >= SHARD:
+                    yield made, pa.Table.from_batches(held)
+                    held, words, made = [], 0, made + 1
+        if held:
+            yield made, pa.Table.from_batches(held)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, table in shards(batches):
+            whole = table.combine_chunks().to_batches()[0] if table.num_rows else None
+            coded = whole["scope"].dictionary_encode() if whole else None
+            for i, scope in enumerate(coded.dictionary.to_pylist() if whole else ()):
+                part = whole.filter(pc.equal(coded.indices, i))
+                words = part["toks"].flatten().dictionary_encode()
+                if not len(words):
+                    continue
+                at = pc.list_parent_indices(part["toks"]).to_numpy(zero_copy_only=False).astype(np.int64)
+                keys, times = np.unique(words.indices.to_numpy(zero_copy_only=False).astype(np.int64) * part.num_rows + at, return_counts=True)
+                terms, rows = np.divmod(keys, part.num_rows)
+                sizes = np.bincount(terms, minlength=len(words.dictionary))
+                ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, v) for v in (part["unit"].take(pa.array(rows)), pa.array(times, pa.int32()), part["len"].take(pa.array(rows)).cast(pa.int32()))]
+                n = len(sizes)
+                n_units, avg_len = stats.value[scope]
+                same = [pa.array([n_units] * n, pa.int64()), *(pa.array([v] * n, pa.float64()) for v in (avg_len, k1, b))]
+                columns = [pa.array([scope] * n, part["scope"].type), words.dictionary, pa.array([shard] * n, pa.int64()), pa.array(sizes, pa.int32()), *lists, *same]
+                yield from pa.Table.from_arrays(columns, ["scope", "term", "shard", "df", "units", "tfs", "lens", "n", "avg_len", "k1", "b"]).to_batches(max_chunksize=50_000)
+
+    return tokens.mapInArrow(shipping.lean(run), _packed_schema(units))
+
+
+def _packed_schema(units: DataFrame) -> str:
+    scope, unit = (units.schema[c].dataType.simpleString() for c in ("scope", "unit"))
+    return f"scope {scope}, term string, shard long, df int, units array<{unit}>, tfs array<int>, lens array<int>, n long, avg_len double, k1 double, b double"
+
+
+def written(units: DataFrame, path: str, k1: float = 1.5, b: float = 0.75, kinds: tuple[str, ...] = KINDS) -> None:
+    """Write an index of units (scope, unit, text), in folders by hash of the term: packed BM25 postings, and TF-IDF rows and idf, as ``kinds`` name; the
+    fingerprint comes last and makes it valid. TF-IDF tables have a row for each gram of a unit, which takes several times the disk of the texts.
+    Adaptive execution cuts a folder's TF-IDF rows into files of its advisory size, so a common term is not one task."""
+    if "bm25" in kinds:
+        dealt = bucketed(packed(units, k1, b)).sortWithinPartitions("bucket", "scope", "term")
+        dealt.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("bucket").parquet(f"{path}/bm25")
+    if "tfidf" in kinds:
+        for name, df in zip(("tfidf", "idf"), tfidf_tables(units), strict=True):
+            dealt = bucketed(df).hint("rebalance", "bucket").sortWithinPartitions("bucket", "scope", "term")
+            dealt.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("bucket").parquet(f"{path}/{name}")
     fingerprints(units).write.mode("overwrite").parquet(f"{path}/meta")
 
 
-def opened(units: DataFrame, path: str, scan: DataFrame | None = None) -> dict[str, DataFrame]:
-    """The tables of an index, built first where it is absent, unfinished or of other units than these. ``scan``: the same units for the comparison, which needs no dealing out."""
+def opened(units: DataFrame, path: str, scan: DataFrame | None = None, kinds: tuple[str, ...] = KINDS) -> dict[str, DataFrame]:
+    """The tables of an index that ``kinds`` of retrievers search, built first where they are absent, unfinished or of other units than these.
+    ``scan``: the same units for the comparison, which needs no dealing out."""
     spark = units.sparkSession
-    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/meta/_SUCCESS")
-    there = place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
-    if not there or stale(spark.read.parquet(f"{path}/meta"), fingerprints(units if scan is None else scan)).take(1):
-        written(units, path)
+
+    def there(name: str) -> bool:
+        place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}/_SUCCESS")
+        return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+    names = {"bm25": ("bm25",), "tfidf": ("tfidf", "idf")}
+    if not there("meta") or stale(spark.read.parquet(f"{path}/meta"), fingerprints(units if scan is None else scan)).take(1):
+        forgotten(spark, path)  # tables of other kinds are of other units too
+    if missing := tuple(kind for kind in kinds if not all(map(there, names[kind]))):
+        written(units, path, kinds=missing)
     scope, unit = (units.schema[c].dataType.simpleString() for c in ("scope", "unit"))
-    rows = f"scope {scope}, term string, unit {unit}, w double, bucket int"  # named, since an index of no units has no files to tell it
-    schemas = {"bm25": rows, "tfidf": rows, "idf": f"scope {scope}, term string, df long, idf double, bucket int"}
-    return {name: spark.read.schema(schema).parquet(f"{path}/{name}") for name, schema in schemas.items()} | {"meta": spark.read.parquet(f"{path}/meta")}
+    # Named, since an index of no units has no files to tell them.
+    schemas = {"bm25": f"{_packed_schema(units)}, bucket int", "tfidf": f"scope {scope}, term string, unit {unit}, w double, bucket int", "idf": f"scope {scope}, term string, df long, idf double, bucket int"}
+    return {name: spark.read.schema(schemas[name]).parquet(f"{path}/{name}") for kind in kinds for name in names[kind]} | {"meta": spark.read.parquet(f"{path}/meta")}
 
 
 def forgotten(spark, path: str) -> None:

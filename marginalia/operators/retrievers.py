@@ -55,7 +55,7 @@ def _units(base: str, corpus: Corpus, encode: Encode, questions: DataFrame, k: i
     def bm25(depth: int) -> DataFrame:
         if corpus.tables is None:
             return retrieval.bm25(corpus.units, questions, depth)
-        return retrieval.top_k(retrieval.bm25_hits(corpus.tables["bm25"], questions), depth)
+        return retrieval.top_k(retrieval.bm25_hits(corpus.tables["bm25"], questions, depth), depth)
 
     def dense(depth: int) -> DataFrame:
         return retrieval.dense(corpus.vectors, encode(questions), depth)

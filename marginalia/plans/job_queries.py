@@ -18,11 +18,11 @@ from .text_queries import _toc, pages
 
 @registered(f"WITH {BM25} SELECT {SHOWN} FROM bmr WHERE rank <= 10")
 def index_roundtrip(spark, d):
-    """An index written, opened again and searched."""
+    """An index for BM25 written, opened again and searched."""
     path = store.workspace(spark, f"index-{uuid.uuid4().hex}")
     u = units(spark, d)
-    index.written(u, path)
-    return shown(retrieval.top_k(retrieval.bm25_hits(index.opened(u, path)["bm25"], asked(spark, d)), 10))
+    index.written(u, path, kinds=("bm25",))
+    return shown(retrieval.top_k(retrieval.bm25_hits(index.opened(u, path, kinds=("bm25",))["bm25"], asked(spark, d), 10), 10))
 
 
 @registered("SELECT source AS scope FROM documents GROUP BY source HAVING bool_or(regexp_replace(text, '[ \\t]{2,}', ' ', 'g') <> text)".replace("\\\\", "\\"))

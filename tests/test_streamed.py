@@ -94,3 +94,37 @@ def test_mmr_makes_no_index(spark, monkeypatch):
     monkeypatch.setattr(streamed, "QUERIES", 2)
     assert {mode: rows(mode) for mode in ("word", "char")} == whole
     assert retrieval.tfidf_pipeline(units, asked.limit(0), 2).collect() == [] == retrieval.tfidf_pipeline(units.limit(0), asked, 2).collect()
+
+
+@pytest.mark.parametrize(("block", "shard"), [(1024, 1 << 20), (2, 3)])
+def test_packed_index(spark, monkeypatch, tmp_path, block, shard):
+    """An index whose postings are packed by shard finds what a plain search finds, and neither its postings nor (q, unit) pairs are shuffled one by one."""
+    from marginalia.operators import index
+
+    monkeypatch.setattr(streamed, "QUERIES", block)
+    monkeypatch.setattr(index, "SHARD", shard)
+    monkeypatch.setattr(index, "postings", lambda *a, **b: pytest.fail("a row for each term of a unit"))
+    monkeypatch.setattr(index, "tfidf_tables", lambda *a, **b: pytest.fail("tables that no one asked for"))
+    units, asked = frames(spark)
+    tables = index.opened(units.repartition(2), str(tmp_path), units, ("bm25",))
+    assert set(tables) == {"bm25", "meta"}
+    seen = lambda df: [(r.q, r.unit, round(r.score, 6), r["rank"]) for r in df.orderBy("q", "rank").collect()]
+    found = retrieval.bm25_hits(tables["bm25"], asked, 2)
+    assert seen(retrieval.top_k(found, 2)) == plain_bm25(2) and seen(retrieval.top_k(retrieval.bm25_hits(tables["bm25"], asked), 9)) == plain_bm25(9)
+    assert set(re.findall(r"hashpartitioning\((\w+)#", found._jdf.queryExecution().executedPlan().toString())) <= {"shard"}
+    assert retrieval.bm25_hits(tables["bm25"], asked.limit(0), 2).collect() == []
+
+
+def test_index_kinds_are_made_when_asked_for(spark, tmp_path):
+    from marginalia.operators import index
+
+    units, asked = frames(spark)
+    units, path = units.where("unit is not null"), str(tmp_path / "index")
+    index.written(units, path, kinds=("bm25",))
+    assert not (tmp_path / "index" / "tfidf").exists()
+    tables = index.opened(units, path)
+    assert tables["tfidf"].count() and retrieval.tfidf_hits(tables["tfidf"], tables["idf"], asked).count()
+    other = units.withColumn("text", F.lit("heaps only"))
+    index.opened(other, path, kinds=("bm25",))
+    assert not (tmp_path / "index" / "tfidf").exists()
+    assert index.opened(other, path)["tfidf"].select("term").distinct().count() == 3
