@@ -15,12 +15,13 @@ from pyspark.sql import functions as F
 
 from .. import shipping
 from ..functions import text as tx
+from ..sources import store
 from . import index, streamed
 
 K1, B = 1.5, 0.75
 RRF_K, CANDIDATES, POOL = 60, 50, 30
-#: Queries of a vector search that are broadcast together.
-QUERIES = 1024
+#: Queries of a vector search that are broadcast together, and hits whose units are.
+QUERIES, FEW = 1024, 200_000
 
 
 def top_k(scores: DataFrame, k: int, *ties: Column | str) -> DataFrame:
@@ -191,10 +192,16 @@ def lexical_overlap(questions: pd.Series, texts: pd.Series) -> pd.Series:
 
 
 def reranked(hits: DataFrame, questions: DataFrame, texts: DataFrame, k: int, scorer: Scorer = lexical_overlap, pool: int = POOL) -> DataFrame:
-    """The pool's hits rescored by ``scorer(question texts, unit texts)``; equal scores keep their order. At most ``pool`` come back."""
+    """The pool's hits rescored by ``scorer(question texts, unit texts)``; equal scores keep their order. At most ``pool`` come back.
+
+    Hits are stored first: where they are few, their units are broadcast, and no other texts are shuffled.
+    """
     shipping.ship(hits.sparkSession)
     score = F.pandas_udf(scorer, "double")
-    few = hits.where(F.col("rank") <= pool).join(questions.select("q", F.col("text").alias("_qt")), "q").join(texts.select("unit", F.col("text").alias("_ut")), "unit")
+    held = store.scratch(hits.where(F.col("rank") <= pool).select("q", "unit", "rank"), "pool")
+    found = held.select("unit").distinct()
+    found = texts.join(F.broadcast(found) if held.count() <= FEW else found, "unit", "left_semi")
+    few = held.join(questions.select("q", F.col("text").alias("_qt")), "q").join(found.select("unit", F.col("text").alias("_ut")), "unit")
     scored = few.select("q", "unit", F.col("rank").alias("_was"), score("_qt", "_ut").alias("score"))
     return top_k(scored, k, "_was").drop("_was")
 

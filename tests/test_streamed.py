@@ -128,3 +128,13 @@ def test_index_kinds_are_made_when_asked_for(spark, tmp_path):
     index.opened(other, path, kinds=("bm25",))
     assert not (tmp_path / "index" / "tfidf").exists()
     assert index.opened(other, path)["tfidf"].select("term").distinct().count() == 3
+
+
+@pytest.mark.parametrize("few", [200_000, 1])
+def test_reranking_shuffles_texts_of_hits_only(spark, monkeypatch, few):
+    monkeypatch.setattr(retrieval, "FEW", few)
+    units, asked = frames(spark)
+    hits = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (1, "g", 3), (2, "d", 1)], "q int, unit string, rank int")
+    found = retrieval.reranked(hits, asked, units.select("unit", "text"), 2, pool=2)
+    assert sorted((r.q, r["rank"], r.unit, r.score) for r in found.collect()) == [(1, 1, "b", 1.0), (1, 2, "a", 0.5), (2, 1, "d", 1.0)]
+    assert "LeftSemi" in found._jdf.queryExecution().executedPlan().toString()
